@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.lang_id import identify
 from lodestone.llm.packing import pack
 from lodestone.llm.token_counts import token_counts
 
@@ -24,8 +25,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op7_packing]
+    found = [op1_token_counts, op7_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
