@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.lang_id import identify
 from lodestone.llm.packing import pack
+from lodestone.llm.quality_rules import score_quality
 from lodestone.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op7_packing, op10_language_id]
+    found = [op1_token_counts, op3_quality, op7_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
