@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.lang_id import identify
+from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import score_quality
 from lodestone.llm.token_counts import token_counts
@@ -26,6 +27,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +41,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op3_quality, op7_packing, op10_language_id]
+    found = [op1_token_counts, op3_quality, op4_license_scan, op7_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
