@@ -11,6 +11,7 @@ from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import score_quality
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.voronoi_topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -41,9 +46,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op3_quality, op4_license_scan, op7_packing, op10_language_id]
+    found = [op1_token_counts, op3_quality, op4_license_scan, op6_exact_topk, op7_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e::DOUBLE[], x.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, rn::INTEGER AS "rank", vec_id, score FROM r WHERE rn <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": TOP_K_SQL}
