@@ -77,5 +77,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 15, agree: flo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, in which no item of the benchmark is found; null ids stay."""
     key, work = options.get("id_col", "doc_id"), Workspace(docs.sparkSession, "decontaminate")
-    bad = work.write(overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(checked_broadcast(bad), docs[key] == bad["__bad"], "left_anti")
+    bad = work.write(overlaps(docs, benchmark, **options).select("doc_id").distinct(), "bad")
+    bad = checked_broadcast(bad)
+    return docs.join(bad, docs[key] == bad["doc_id"], "left_anti")

@@ -171,6 +171,41 @@ def _view(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "text", "lang")
 
 
+def judge(text: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    n = len(text)
+    lang, best = np.zeros(n, np.int64), np.zeros(n)
+    letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    if model is not None:
+        for first, p in model.probabilities(text):
+            lang[first : first + len(p)], best[first : first + len(p)] = p.argmax(axis=1), p.max(axis=1)
+    else:
+        letters = np.zeros(n, bool)
+    names = np.array([*(model.languages if model else []), UNKNOWN], object)
+    lang[~letters], best[~letters] = len(names) - 1, 0.0
+    return names[lang], best, ~letters | (best < (model.threshold if model else 1))
+
+
+def learn(docs: DataFrame) -> Model | None:
+    """A model from the documents' own labels, of rows that aren't held out; None without any."""
+    texts, languages = sample(_view(docs))
+    return train(texts, languages) if texts else None
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents, all columns, that aren't rejected (see identify); no row moves. Without labels to learn from all stay."""
+    model = model or learn(docs)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~judge(batch.column(at), model)[2]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each document: RESULT.
 
@@ -180,25 +215,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows; other columns than doc_id, text and lang are not read, and lang only to train.
     """
     view = _view(docs)
-    if model is None:
-        texts, languages = sample(view)
-        model = train(texts, languages) if texts else None
+    model = model or learn(docs)
 
     def score(batches):
         for batch in batches:
-            text = batch.column(2)
-            n = len(text)
-            lang, best = np.zeros(n, np.int64), np.zeros(n)
-            letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-            if model is not None:
-                for first, p in model.probabilities(text):
-                    lang[first : first + len(p)], best[first : first + len(p)] = p.argmax(axis=1), p.max(axis=1)
-            else:
-                letters = np.zeros(n, bool)
-            names = np.array([*(model.languages if model else []), UNKNOWN], object)
-            lang[~letters] = len(names) - 1
-            best[~letters] = 0.0
-            rejected = ~letters | (best < (model.threshold if model else 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[lang], pa.string()), pa.array(best), pa.array(rejected)], [f.split()[0] for f in RESULT.split(", ")])
+            names, best, rejected = judge(batch.column(2), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], [f.split()[0] for f in RESULT.split(", ")])
 
     return view.select("doc_id", "held_out", "text").mapInArrow(score, RESULT)

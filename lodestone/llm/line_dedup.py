@@ -11,6 +11,8 @@ document id and place, stays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,37 +60,34 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return islands.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 25, drop_emptied: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 25, drop_emptied: bool = True, count_as: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without the later repeats of runs of lines; ``text`` is what is left.
 
     A run is deleted if it has at least RUN lines and ``min_words`` words (words are counted by spaces). A document of
     which only blank lines are left is dropped, unless ``drop_emptied`` is off; one that was empty before stays. Null texts
     and rows of null ids stay as they are. Rows that repeat an id share the places of their runs: a run found in one
-    is deleted from each. An empty table gives no rows. ``n_deleted`` is added: how many lines went (0 where none).
+    is deleted from each. An empty table gives no rows. ``count_as`` names a column to add: how many lines went.
+    Columns of any other names pass through.
     """
-    runs = repeated_runs(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, docs[id_col] == runs["__id"], "left")
+    mark = uuid.uuid4().hex
+    key, found, left = (f"{x}_{mark}" for x in ("id", "runs", "left"))
+    runs = repeated_runs(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("runs").alias(found))
+    joined = docs.join(runs, docs[id_col] == runs[key], "left")
     pieces = lines(F.col(text_col))
     full = F.filter(pieces, lambda x: _bare(x) != "")
     words = lambda run: F.aggregate(F.slice(full, run["first"] + 1, run["last"] - run["first"] + 1), F.lit(0), lambda n, x: n + F.length(_bare(x)) - F.length(F.replace(_bare(x), F.lit(" "))) + 1)
-    long_runs = F.filter("__runs", lambda run: words(run) >= min_words)
-    # (number among the lines that aren't blank, text) of each piece; a blank piece has the number of the one before
-    joined = joined.withColumn("__runs", long_runs).withColumn("__runs", F.when(F.size("__runs") > 0, F.col("__runs")))
-    numbered = F.aggregate(
-        pieces,
-        F.struct(F.lit(-1).alias("i"), F.lit(0).alias("gone"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: _step(acc, x),
-    )
-    left = joined.withColumn("__left", F.when(F.col("__runs").isNotNull(), numbered))
-    text = F.when(F.col("__left").isNotNull(), F.array_join(F.col("__left.kept"), "")).otherwise(F.col(text_col))
-    out = left.withColumn("n_deleted", F.coalesce(F.col("__left.gone"), F.lit(0)).cast("long")).withColumn(text_col, text)
+    joined = joined.withColumn(found, F.filter(found, lambda run: words(run) >= min_words))
+
+    def step(acc: Column, x: Column) -> Column:
+        """Adds a piece to (number of the last line that isn't blank, lines deleted, pieces kept)."""
+        i = acc["i"] + F.when(_bare(x) != "", 1).otherwise(0)
+        gone = F.exists(found, lambda run: (run["first"] <= i) & (i <= run["last"]))
+        return F.struct(i.alias("i"), (acc["gone"] + F.when(gone & (_bare(x) != ""), 1).otherwise(0)).alias("gone"), F.when(gone, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
+
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("gone"), F.array().cast("array<string>").alias("kept"))
+    joined = joined.withColumn(left, F.when(F.size(found) > 0, F.aggregate(pieces, start, step)))
+    count = F.coalesce(F.col(f"{left}.gone"), F.lit(0)).cast("long")
+    out = joined.withColumn(text_col, F.coalesce(F.array_join(F.col(f"{left}.kept"), ""), F.col(text_col)))
     if drop_emptied:
-        out = out.where((F.col("n_deleted") == 0) | (_bare(F.regexp_replace(text_col, r"\s+", " ")) != ""))
-    return out.drop("__id", "__runs", "__left")
-
-
-def _step(acc: Column, x: Column) -> Column:
-    """Adds a piece to (number of the last line that isn't blank, lines deleted, pieces kept)."""
-    i = acc["i"] + F.when(_bare(x) != "", 1).otherwise(0)
-    gone = F.exists("__runs", lambda run: (run["first"] <= i) & (i <= run["last"]))
-    return F.struct(i.alias("i"), (acc["gone"] + F.when(gone & (_bare(x) != ""), 1).otherwise(0)).alias("gone"), F.when(gone, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
+        out = out.where((count == 0) | ~F.col(text_col).rlike(r"\A\s*\z"))
+    return (out.withColumn(count_as, count) if count_as else out).drop(key, found, left)

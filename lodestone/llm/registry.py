@@ -12,6 +12,7 @@ from lodestone.llm.decontamination import overlaps
 from lodestone.llm.lang_id import identify
 from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.ngram_join import near_duplicates
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import score_quality
 from lodestone.llm.token_counts import token_counts
@@ -45,7 +46,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, drop_emptied=False)
+    return dedup_lines(docs, drop_emptied=False, count_as="n_deleted")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +61,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_chat_format, op3_quality, op4_license_scan, op5_line_dedup, op6_exact_topk, op7_packing, op8_decontamination, op10_language_id]
+    found = [op1_token_counts, op2_chat_format, op3_quality, op4_license_scan, op5_line_dedup, op6_exact_topk, op7_packing, op8_decontamination, op9_ngram_join, op10_language_id, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -142,5 +153,22 @@ SELECT doc_id, item_id, agree::BIGINT AS n_agree, n::BIGINT AS n_compared, a::BI
 """
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT DISTINCT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u
+), c AS (SELECT v, min(u) AS label FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.label, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.v = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": CHAT_SQL, "op5_line_dedup": LINES_SQL, "op6_exact_topk": TOP_K_SQL, "op8_decontamination": SEEDS_SQL}
+    return {"op2_chat_format": CHAT_SQL, "op5_line_dedup": LINES_SQL, "op6_exact_topk": TOP_K_SQL, "op8_decontamination": SEEDS_SQL, "op9_ngram_join": JACCARD_SQL}
