@@ -73,21 +73,28 @@ def dedup_lines(docs: DataFrame, min_words: int = 25, drop_emptied: bool = True,
     key, found, left = (f"{x}_{mark}" for x in ("id", "runs", "left"))
     runs = repeated_runs(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("runs").alias(found))
     joined = docs.join(runs, docs[id_col] == runs[key], "left")
-    pieces = lines(F.col(text_col))
-    full = F.filter(pieces, lambda x: _bare(x) != "")
-    words = lambda run: F.aggregate(F.slice(full, run["first"] + 1, run["last"] - run["first"] + 1), F.lit(0), lambda n, x: n + F.length(_bare(x)) - F.length(F.replace(_bare(x), F.lit(" "))) + 1)
-    joined = joined.withColumn(found, F.filter(found, lambda run: words(run) >= min_words))
-
-    def step(acc: Column, x: Column) -> Column:
-        """Adds a piece to (number of the last line that isn't blank, lines deleted, pieces kept)."""
-        i = acc["i"] + F.when(_bare(x) != "", 1).otherwise(0)
-        gone = F.exists(found, lambda run: (run["first"] <= i) & (i <= run["last"]))
-        return F.struct(i.alias("i"), (acc["gone"] + F.when(gone & (_bare(x) != ""), 1).otherwise(0)).alias("gone"), F.when(gone, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
-
-    start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("gone"), F.array().cast("array<string>").alias("kept"))
-    joined = joined.withColumn(left, F.when(F.size(found) > 0, F.aggregate(pieces, start, step)))
+    bare_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+    n_words = lambda full, run: F.aggregate(F.slice(full, run["first"] + 1, run["last"] - run["first"] + 1), F.lit(0), lambda n, x: n + bare_words(x))
+
+    def cut(pieces: Column) -> Column:
+        """Lines deleted and pieces kept. Arrays of one bind what would else be worked out anew for each line."""
+        full = F.filter(F.transform(pieces, _bare), lambda x: x != "")
+        long_runs = F.flatten(F.transform(F.array(full), lambda full: F.filter(found, lambda run: n_words(full, run) >= min_words)))
+
+        def step(acc: Column, x: Column) -> Column:
+            i = acc["i"] + x["solid"]
+            gone = F.exists(acc["runs"], lambda run: (run["first"] <= i) & (i <= run["last"]))
+            return F.struct(i.alias("i"), (acc["gone"] + F.when(gone, x["solid"]).otherwise(0)).alias("gone"), F.when(gone, acc["kept"]).otherwise(F.array_append(acc["kept"], x["text"])).alias("kept"), acc["runs"].alias("runs"))
+
+        start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("gone"), F.array().cast("array<string>").alias("kept"), long_runs.alias("runs"))
+        solid = F.transform(pieces, lambda x: F.struct(F.when(_bare(x) != "", 1).otherwise(0).alias("solid"), x.alias("text")))
+        return F.aggregate(solid, start, step, lambda acc: F.struct(acc["gone"].alias("gone"), F.array_join(acc["kept"], "").alias("text")))
+
+    # the generator keeps the optimizer from working the cut out once for each use
+    result = F.when(F.size(found) > 0, F.get(F.transform(F.array(lines(F.col(text_col))), cut), F.lit(0)))
+    joined = joined.withColumn(left, F.explode(F.array(result)))
     count = F.coalesce(F.col(f"{left}.gone"), F.lit(0)).cast("long")
-    out = joined.withColumn(text_col, F.coalesce(F.array_join(F.col(f"{left}.kept"), ""), F.col(text_col)))
+    out = joined.withColumn(text_col, F.coalesce(F.col(f"{left}.text"), F.col(text_col)))
     if drop_emptied:
         out = out.where((count == 0) | ~F.col(text_col).rlike(r"\A\s*\z"))
     return (out.withColumn(count_as, count) if count_as else out).drop(key, found, left)
