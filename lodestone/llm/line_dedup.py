@@ -48,6 +48,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = F.when(line(2).isNotNull(), F.xxhash64(line(1), line(2)))
     marks = pairs.where(F.coalesce(pair <= left, F.lit(False)) | F.coalesce(pair <= right, F.lit(False)))
     marks = marks.select(pair.alias("pair"), "doc_id", "at", F.when(line(-1).isNotNull(), F.xxhash64(line(-1), line(0), line(1))).alias("run_left"), F.when(line(2).isNotNull(), F.xxhash64(line(0), line(1), line(2))).alias("run_right"))
+    marks = work.write(marks, "marks")
     again = marks.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("pair")
     joined = marks.join(again, "pair")
     runs = joined.select("doc_id", F.explode(F.array(F.struct((F.col("at") - 1).alias("start"), F.col("run_left").alias("run")), F.struct(F.col("at").alias("start"), F.col("run_right").alias("run")))).alias("x")).select("doc_id", "x.start", "x.run").where(F.col("run").isNotNull()).distinct()
