@@ -13,6 +13,8 @@ different components is lost.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import LOWER, Workspace, checked_broadcast, chunks, mix, partitions, utf8, word_hashes, words
 from lodestone.llm.components import components
 
-#: Counters of the shingles' hashed counts: a fixed size at every scale.
-COUNTERS = 1 << 18
+#: Counters of the shingles' hashed counts, 1 << BITS: a fixed size at every scale.
+BITS = 22
 #: The longest lengthening of a prefix.
 MOST = 4
 
@@ -61,19 +63,23 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
-    """l and the prefix of a set, in the corpus's order (count, hash).
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def prefix(s: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
+    """l and the prefix of a set, in the corpus's order (level of the count, hash).
 
     The cost of l is the expected length of the lists its prefix meets, over l squared: pairs that share one shingle
     by chance seldom share several.
     """
     n = len(s)
-    c = counts[(s >> np.uint64(64 - 18)).astype(np.int64)]
+    c = levels[_counter(s)]
     order = np.argsort(c, kind="stable")
     base = n - _needed(n, percent)
     most = min(MOST, n - base)
     head = order[: base + most]
-    lists = np.cumsum(np.maximum(c[head] - noise, 0.0))
+    lists = np.cumsum(np.maximum(2.0 ** (c[head] / 8.0) - noise, 0.0))
     if lists[base] < 4:
         return 1, s[order[: base + 1]]
     size = np.arange(1, most + 1)
@@ -81,37 +87,51 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tup
     return best, s[order[: base + best]]
 
 
-def shingle_counts(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
-    """How often shingles of each counter occur over all documents, each once a document."""
+def _pack(total: np.ndarray) -> bytes:
+    """Counts as low bytes, compressed, and the few that are greater."""
+    high = np.flatnonzero(total > 255)
+    low = zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)
+    return len(low).to_bytes(8, "little") + low + high.astype("<i8").tobytes() + total[high].astype("<i8").tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(zlib.decompress(raw[8 : 8 + size]), np.uint8).astype(np.int64)
+    high, value = np.frombuffer(raw[8 + size :], "<i8").reshape(2, -1)
+    out[high] = value
+    return out
+
+
+def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
+    """8 log2 of how often shingles of each counter occur over all documents, each once a document, as bytes."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for _, part, edges in chunks(*utf8(batch.column(0))):
-                found = shingle_sets(part, edges, size)
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - 18)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                total += np.bincount(_counter(np.concatenate(shingle_sets(part, edges, size))), minlength=1 << BITS)
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], ["counts"])
 
     def add(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                total += np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                total += _unpack(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], ["counts"])
 
     parts = work.write(docs.select("text").mapInArrow(count, "counts binary"), "counts")
-    merged = parts.coalesce(16).mapInArrow(add, "counts binary").collect()  # at most 16 rows of 2 MB
+    merged = parts.coalesce(6).mapInArrow(add, "counts binary").collect()  # at most 6 rows of some MB
     work.drop("counts")
-    return sum((np.frombuffer(r[0], np.int64) for r in merged), np.zeros(COUNTERS, np.int64))
+    total = sum((_unpack(r[0]) for r in merged), np.zeros(1 << BITS, np.int64))
+    return np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
 
 
 SETS = "doc_id long, sig long, n long, l int, prefix binary"
 
 
-def prefix_table(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """SETS for each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    noise = 2.0 * float(np.median(counts)) + 1
+def prefix_table(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
+    """SETS for each document; ``shared`` is a broadcast of the levels."""
+    noise = 2.0 ** (float(np.median(shared.value)) / 8) + 1
 
     def run(batches):
         counts = shared.value
@@ -124,8 +144,7 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -
     return docs.mapInArrow(run, SETS)
 
 
-PAIRS = "sig_a long, n_a long, sig_b long, n_b long"
-_POSTING = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4")])
+_POSTING = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
 def _packed(sets: DataFrame, parts: int) -> DataFrame:
@@ -143,14 +162,14 @@ def _packed(sets: DataFrame, parts: int) -> DataFrame:
             rows, part = rows[order], part[order]
             at = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
             pieces = [rows[a:b] for a, b in zip(at, at[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([x[f].tobytes() for x in pieces], pa.binary()) for f in ("token", "sig", "n"))], ["part", "tokens", "sigs", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([x[f].tobytes() for x in pieces], pa.binary()) for f in ("token", "sig", "n", "place"))], ["part", "tokens", "sigs", "sizes", "places"])
 
         for batch in batches:
             for sig, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n and sig not in seen:
                     seen.add(sig)
                     rows = np.empty(len(raw) // 8, _POSTING)
-                    rows["token"], rows["sig"], rows["n"] = np.frombuffer(raw, np.uint64), sig, n
+                    rows["token"], rows["sig"], rows["n"], rows["place"] = np.frombuffer(raw, np.uint64), sig, n, np.arange(len(rows))
                     held.append(rows)
                     total += len(rows)
             if total > 1_500_000:
@@ -159,16 +178,17 @@ def _packed(sets: DataFrame, parts: int) -> DataFrame:
         if total:
             yield flush()
 
-    return sets.select("sig", "n", "prefix").mapInArrow(run, "part long, tokens binary, sigs binary, sizes binary")
+    return sets.select("sig", "n", "prefix").mapInArrow(run, "part long, tokens binary, sigs binary, sizes binary, places binary")
 
 
 def _lists(batches):
     """The partition's postings in order of (token, n, sig), each class once, without tokens of one class."""
     parts = []
     for batch in batches:
-        for tokens, sigs, sizes in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            rows = np.empty(len(tokens) // 8, _POSTING)
-            rows["token"], rows["sig"], rows["n"] = np.frombuffer(tokens, "<u8"), np.frombuffer(sigs, "<i8"), np.frombuffer(sizes, "<i4")
+        for raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            rows = np.empty(len(raw[0]) // 8, _POSTING)
+            for (name, (kind, _)), column in zip(_POSTING.fields.items(), raw, strict=True):
+                rows[name] = np.frombuffer(column, kind)
             parts.append(rows)
     if not parts:
         return np.empty(0, _POSTING)
@@ -185,7 +205,12 @@ def _lists(batches):
 
 
 def _first_pairs(percent: int):
-    """From each list: pairs of a leader (the smallest set) with all, and of neighbours by size. Long lists go on as rows."""
+    """From each list: pairs of a leader (the smallest set) with all, and of neighbours by size. Long lists go on as rows,
+    with a place for n_b.
+
+    A pair passes where this shingle may be its first in common: then no more than what stands from here on is shared.
+    Every similar pair passes in the list of its first common shingle.
+    """
 
     def run(batches):
         rows = _lists(batches)
@@ -198,7 +223,8 @@ def _first_pairs(percent: int):
         late = np.flatnonzero(place > 0)
         a = np.concatenate([starts[which[late]], late[place[late] > 1] - 1])
         b = np.concatenate([late, late[place[late] > 1]])
-        fits = 100 * rows["n"][a].astype(np.int64) >= percent * rows["n"][b].astype(np.int64)
+        n_a, n_b = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+        fits = (100 * n_a >= percent * n_b) & ((100 + percent) * np.minimum(n_a - rows["place"][a], n_b - rows["place"][b]) >= percent * (n_a + n_b))
         pairs = np.unique(np.stack([rows["sig"][a[fits]], rows["n"][a[fits]], rows["sig"][b[fits]], rows["n"][b[fits]]], axis=1), axis=0)
         for i in range(0, len(pairs), 100_000):
             p = pairs[i : i + 100_000]
@@ -206,7 +232,7 @@ def _first_pairs(percent: int):
         long = rows[sizes[which] > 3]
         for i in range(0, len(long), 100_000):
             r = long[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(r["token"].view("<i8")), pa.array(r["sig"]), pa.array(r["n"].astype(np.int64)), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64())], ["token", "sig_a", "n_a", "sig_b", "n_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(r["token"].view("<i8")), pa.array(r["sig"]), pa.array(r["n"].astype(np.int64)), pa.nulls(len(r), pa.int64()), pa.array(r["place"].astype(np.int64))], ["token", "sig_a", "n_a", "sig_b", "n_b"])
 
     return run
 
@@ -219,7 +245,8 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, work: Workspace, size: int, percent: int):
         self.spark, self.docs, self.work, self.size, self.percent = spark, docs, work, size, percent
-        self.sets = work.write(prefix_table(docs, shingle_counts(docs, work, size), size, percent), "sets")
+        self.levels = spark.sparkContext.broadcast(shingle_levels(docs, work, size))
+        self.sets = work.write(prefix_table(docs, self.levels, size, percent), "sets")
         classes = self.sets.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
         self.classes = work.write(classes, "classes")
 
@@ -233,17 +260,27 @@ class _Join:
         def members(of: DataFrame, step: str) -> DataFrame:
             return checked_broadcast(work.write(of.select(F.col("a").alias("doc_id")).unionByName(of.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-{step}-ids"))
 
-        heads = self.sets.join(members(pairs, "heads"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("sig", "l", "prefix")).alias("x")).select("doc_id", "x.l", "x.prefix")
+        heads = self.sets.join(members(pairs, "heads"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("sig", "l", "prefix", "n")).alias("x")).select("doc_id", "x.l", "x.prefix", "x.n")
         heads = work.write(heads, f"{name}-heads")
 
+        levels = self.levels
+
         def share(batches):
+            key = lambda x: (int(levels.value[_counter(x[-1:])][0]), int(x[-1]))
             for batch in batches:
-                a, b, la, pa_, lb, pb = (c.to_pylist() for c in batch.columns)
-                keep = [i for i in range(len(a)) if len(np.intersect1d(np.frombuffer(pa_[i], np.uint64), np.frombuffer(pb[i], np.uint64), assume_unique=True)) >= min(la[i], lb[i])]
+                a, b, la, pa_, na, lb, pb, nb = (c.to_pylist() for c in batch.columns)
+                keep = []
+                for i in range(len(a)):
+                    x, y = np.frombuffer(pa_[i], np.uint64), np.frombuffer(pb[i], np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    # the prefix that ends first in the corpus's order holds all its set shares up to there
+                    left = na[i] - len(x) if key(x) <= key(y) else nb[i] - len(y)
+                    if common >= min(la[i], lb[i]) and (100 + percent) * (common + left) >= percent * (na[i] + nb[i]):
+                        keep.append(i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-        both = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("prefix").alias("pa")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("prefix").alias("pb")), "b")
-        likely = work.write(both.select("a", "b", "la", "pa", "lb", "pb").mapInArrow(share, "a long, b long"), f"{name}-likely")
+        both = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("prefix").alias("pa"), F.col("n").alias("na")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("prefix").alias("pb"), F.col("n").alias("nb")), "b")
+        likely = work.write(both.select("a", "b", "la", "pa", "na", "lb", "pb", "nb").mapInArrow(share, "a long, b long"), f"{name}-likely")
         work.drop(f"{name}-heads")
 
         texts = self.docs.join(members(likely, "texts"), "doc_id", "left_semi")
@@ -266,25 +303,27 @@ class _Join:
         parts = max(32, partitions(self.spark, postings // 8, 1_000_000))
         dealt = _packed(self.sets, parts).repartition(parts, "part")
         raw = work.write(dealt.mapInArrow(_first_pairs(percent), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
-        first = raw.where(F.col("sig_b").isNotNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct()
+        first = raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct()
         links = self.verify(first, "first")
         labels = components(links, work, "first-components")
-        lists = raw.where(F.col("sig_b").isNull()).select("token", F.col("sig_a").alias("sig"), F.col("n_a").alias("n"))
+        lists = raw.where(F.col("token").isNotNull()).select("token", F.col("sig_a").alias("sig"), F.col("n_a").alias("n"), F.col("n_b").alias("place"))
         if lists.isEmpty():
             return labels
-        for name, leaders in (("second", True), ("third", False)):
-            known = lists.join(self.classes, ["sig", "n"]).join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", F.coalesce("label", "doc_id").alias("part"))
+        fits = lambda n, place, m, other: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * F.least(n - place, m - other) >= F.lit(percent) * (n + m))
+        for k, name in enumerate(("second", "third", "fourth", "last")):
+            known = lists.join(self.classes, ["sig", "n"]).join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", "place", F.coalesce("label", "doc_id").alias("part"))
             known = work.write(known, f"{name}-lists")
-            open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("token", "sig").alias("draw"), "sig", "n", "part")).alias("lead")).where(F.col("low") != F.col("high")).select("token", "lead")
+            draw = F.xxhash64("token", "sig", F.lit(k))
+            open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(draw.alias("draw"), "sig", "n", "place", "part")).alias("lead")).where(F.col("low") != F.col("high")).select("token", "lead")
             rest = known.join(open_lists, "token")
-            near = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-            if leaders:
-                pairs = rest.where((F.col("part") != F.col("lead.part")) & near(F.col("n"), F.col("lead.n"))).select(F.col("lead.sig").alias("sig_a"), F.col("lead.n").alias("n_a"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+            if name != "last":  # one leader for each list, drawn by hash
+                pairs = rest.where((F.col("part") != F.col("lead.part")) & fits(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"))).select(F.col("lead.sig").alias("sig_a"), F.col("lead.n").alias("n_a"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
             else:
-                one = rest.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-                two = rest.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-                pairs = one.join(two, "token").where((F.col("part_a") < F.col("part_b")) & near(F.col("n_a"), F.col("n_b"))).select("sig_a", "n_a", "sig_b", "n_b")
+                one = rest.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("part").alias("part_a"))
+                two = rest.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
+                pairs = one.join(two, "token").where((F.col("part_a") < F.col("part_b")) & fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))).select("sig_a", "n_a", "sig_b", "n_b")
             pairs = work.write(pairs.distinct(), f"{name}-found")
+            work.drop(f"{name}-lists")
             if pairs.isEmpty():
                 break
             links = links.unionByName(self.verify(pairs, name))
