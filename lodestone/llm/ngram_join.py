@@ -311,13 +311,15 @@ class _Join:
             return labels
         fits = lambda n, place, m, other: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * F.least(n - place, m - other) >= F.lit(percent) * (n + m))
         for k, name in enumerate(("second", "third", "fourth", "last")):
+            draws = (1, 4, 12, 1)[k]
             known = lists.join(self.classes, ["sig", "n"]).join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", "place", F.coalesce("label", "doc_id").alias("part"))
             known = work.write(known, f"{name}-lists")
-            draw = F.xxhash64("token", "sig", F.lit(k))
-            open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(draw.alias("draw"), "sig", "n", "place", "part")).alias("lead")).where(F.col("low") != F.col("high")).select("token", "lead")
+            lead = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(100 * k + i)).alias("draw"), "sig", "n", "place", "part")) for i in range(draws)]
+            open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.array(*lead).alias("leads")).where(F.col("low") != F.col("high")).select("token", "leads")
             rest = known.join(open_lists, "token")
-            if name != "last":  # one leader for each list, drawn by hash
-                pairs = rest.where((F.col("part") != F.col("lead.part")) & fits(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"))).select(F.col("lead.sig").alias("sig_a"), F.col("lead.n").alias("n_a"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+            if name != "last":  # a few leaders for each list, drawn by hash: more each round, as ever fewer members stand apart
+                near = F.filter("leads", lambda x: (F.col("part") != x["part"]) & fits(F.col("n"), F.col("place"), x["n"], x["place"]))
+                pairs = rest.select("sig", "n", F.explode(F.array_distinct(F.transform(near, lambda x: F.struct(x["sig"].alias("sig"), x["n"].alias("n"))))).alias("x")).select(F.col("x.sig").alias("sig_a"), F.col("x.n").alias("n_a"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
             else:
                 one = rest.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("part").alias("part_a"))
                 two = rest.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
