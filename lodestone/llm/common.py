@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of text that the numpy passes handle at once; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 class Workspace:
@@ -129,13 +129,18 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACES)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word's bytes, worked out in blocks so that a very long text needs no more memory."""
+    out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    value = _BYTE[data[place + np.repeat(starts, lengths)]]
-    power = np.multiply.accumulate(np.full(int(lengths.max()) + 1, _BASE, np.uint64))
-    return mix(np.add.reduceat(value * power[place], first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    upto = np.cumsum(lengths)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK_BYTES, "right")))
+        size = lengths[i:j]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+        value = _BYTE[data[place + np.repeat(starts[i:j], size)]]
+        power = np.multiply.accumulate(np.full(int(size.max()) + 1, _BASE, np.uint64))
+        out[i:j] = mix(np.add.reduceat(value * power[place], first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out

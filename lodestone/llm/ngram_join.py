@@ -109,7 +109,8 @@ def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for _, part, edges in chunks(*utf8(batch.column(0))):
-                total += np.bincount(_counter(np.concatenate(shingle_sets(part, edges, size))), minlength=1 << BITS)
+                at, often = np.unique(_counter(np.concatenate(shingle_sets(part, edges, size))), return_counts=True)
+                total[at] += often
         yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], ["counts"])
 
     def add(batches):
@@ -172,7 +173,7 @@ def _packed(sets: DataFrame, parts: int) -> DataFrame:
                     rows["token"], rows["sig"], rows["n"], rows["place"] = np.frombuffer(raw, np.uint64), sig, n, np.arange(len(rows))
                     held.append(rows)
                     total += len(rows)
-            if total > 1_500_000:
+            if total > 750_000:
                 yield flush()
                 held, seen, total = [], set(), 0
         if total:
@@ -225,9 +226,10 @@ def _first_pairs(percent: int):
         b = np.concatenate([late, late[place[late] > 1]])
         n_a, n_b = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
         fits = (100 * n_a >= percent * n_b) & ((100 + percent) * np.minimum(n_a - rows["place"][a], n_b - rows["place"][b]) >= percent * (n_a + n_b))
-        pairs = np.unique(np.stack([rows["sig"][a[fits]], rows["n"][a[fits]], rows["sig"][b[fits]], rows["n"][b[fits]]], axis=1), axis=0)
-        for i in range(0, len(pairs), 100_000):
-            p = pairs[i : i + 100_000]
+        a, b = a[fits], b[fits]
+        for i in range(0, len(a), 100_000):
+            x, y = rows[a[i : i + 100_000]], rows[b[i : i + 100_000]]
+            p = np.unique(np.stack([x["sig"], x["n"], y["sig"], y["n"]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), *(pa.array(p[:, k]) for k in range(4))], ["token", "sig_a", "n_a", "sig_b", "n_b"])
         long = rows[sizes[which] > 3]
         for i in range(0, len(long), 100_000):
