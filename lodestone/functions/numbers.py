@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,25 +15,30 @@ FACTORS = {"thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "mi
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(cell: Column) -> Column:
     """The number a cell holds, else null.
 
     Accepts currency signs and names, grouping commas, a sign, parentheses for negatives, a percent sign (12% is 12),
     a unit after the number, and factors such as lakh or crore. Two numbers, words or blanks give null.
     """
-    bare = F.lower(F.btrim(cell))
-    bare = F.btrim(F.regexp_replace(bare, r"^(-?)\s*(?:rs\.?|inr|usd|eur|gbp|[₹$€£])\s*", "$1"))
-    negative = bare.rlike(r"^\(.*\)$")
-    inner = F.btrim(F.regexp_replace(bare, r"^\((.*)\)$", "$1"))
-    inner = F.btrim(F.regexp_replace(inner, r"^(?:rs\.?|inr|usd|eur|gbp|[₹$€£])\s*", ""))
+    money = r"^(-?)\s*(?:(?:rs\.?|inr|usd|eur|gbp|[₹$€£])\s*)+"
     shape = r"^([+-]?(?:\d[\d,]*\.?\d*|\.\d+))\s*(%|[a-z°µ/²³]{0,12}\.?)$"
-    digits = F.regexp_replace(F.regexp_extract(inner, shape, 1), "[,+]", "")
-    word = F.regexp_extract(inner, shape, 2)
-    factor = F.lit(1.0)
-    for name, value in FACTORS.items():
-        factor = F.when(word == name, F.lit(value)).otherwise(factor)
-    value = digits.try_cast("double") * factor
-    return F.when(bare.isin(*BLANKS) | ~inner.rlike(shape), F.lit(None).cast("double")).otherwise(F.when(negative, -value).otherwise(value))
+    factors = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
+
+    def plain(inner: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(inner, shape, 1), "[,+]", "")
+        return digits.try_cast("double") * F.coalesce(F.try_element_at(factors, F.regexp_extract(inner, shape, 2)), F.lit(1.0))
+
+    def read(bare: Column) -> Column:
+        inner = F.btrim(F.regexp_replace(F.btrim(F.substring(bare, F.lit(2), F.length(bare) - 2)), money, "$1"))
+        return F.when(bare.isin(*BLANKS), F.lit(None).cast("double")).when(bare.startswith("(") & bare.endswith(")"), -_let(inner, plain)).otherwise(plain(bare))
+
+    return _let(F.btrim(F.regexp_replace(F.lower(F.btrim(cell)), money, "$1")), read)
 
 
 def indian_grouping(amount: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql.window import Window
 
 
 def tokens(text: Column) -> Column:
-    """Runs of word characters in small letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    """Runs of letters, digits and underscores in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,23 +29,26 @@ def bm25(docs: DataFrame, query: Sequence[str], fields: Mapping[str, float] | No
     """The k best documents by Okapi BM25 over weighted fields: (id, score), ties to the smaller id.
 
     Only occurrences of the query's terms leave a task: term counts are taken per document by array functions, so the
-    shuffle carries one row for each partition, not the postings. The corpus statistics are over all documents.
+    shuffle carries one row for each partition, not the postings. The corpus statistics are over all documents; only
+    documents that hold a term as a substring are split into words again for the scores.
     """
     fields = dict(fields or {"text": 1.0})
     terms = sorted(set(query))
-    marked = docs.select(id_col, *[tokens(F.col(c)).alias(f"t_{c}") for c in fields])
     length = sum((F.size(f"t_{c}") for c in fields), F.lit(0))
-    times = lambda c, term: F.size(F.filter(f"t_{c}", lambda x: x == F.lit(term)))
+    times = lambda c, term: F.size(f"t_{c}") - F.size(F.array_remove(f"t_{c}", term))
     counts = [[times(c, t) for c in fields] for t in terms]
-    rows = marked.select(id_col, length.cast("long").alias("len"), *[sum((F.lit(w) * n for w, n in zip(fields.values(), ns, strict=True)), F.lit(0.0)).alias(f"w{i}") for i, ns in enumerate(counts)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    joined = rows.where(" OR ".join(f"w{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of statistics
+    marked = lambda df: df.select(id_col, *[tokens(F.col(c)).alias(f"t_{c}") for c in fields])
+    counted = lambda df: marked(df).select(id_col, length.cast("long").alias("len"), *[sum((F.lit(w) * n for w, n in zip(fields.values(), ns, strict=True)), F.lit(0.0)).alias(f"w{i}") for i, ns in enumerate(counts)])
+    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    holds = reduce(or_, [F.lower(F.col(c)).contains(t) for c in fields for t in terms])
+    joined = counted(docs.where(holds)).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"w{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return joined.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    # every idf is positive; the condition names both sides and takes nulls, so no part of it is pushed below to split the texts again
+    return joined.where(F.coalesce(score, F.lit(0.0)) > 0).select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def dot(a: Column, b: Column) -> Column:

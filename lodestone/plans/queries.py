@@ -46,12 +46,12 @@ def _bm25_sql(fields: dict[str, float]) -> str:
 
 @query(_bm25_sql({"text": 1.0}))
 def bm25_topk(spark, d):
-    return S.bm25(table(spark, d, "documents"), BM25_TERMS)
+    return S.bm25(table(spark, d, "documents", spread=True), BM25_TERMS)
 
 
 @query(_bm25_sql({"text": 1.0, "source": 0.3}))
 def bm25_two_field(spark, d):
-    return S.bm25(table(spark, d, "documents"), BM25_TERMS, {"text": 1.0, "source": 0.3})
+    return S.bm25(table(spark, d, "documents", spread=True), BM25_TERMS, {"text": 1.0, "source": 0.3})
 
 
 def _vector(spark, d, vec_id: int = 0) -> list[float]:
@@ -76,7 +76,7 @@ def rrf_fusion(spark, d):
     f"WITH t AS (SELECT doc_id, text, list_distinct({TOKENS.format('text')}) AS u, {TOKENS.format('text')} AS w FROM documents), f AS (SELECT doc_id, len(list_intersect(u, ['of', 'the', 'ea'])) / 3.0 AS share, contains(lower(text), 'of the ea')::DOUBLE AS phrase, (coalesce(list_position(w, 'of'), 0) BETWEEN 1 AND 50)::INT::DOUBLE AS early FROM t) SELECT doc_id, round(share, 6) AS share, phrase, early, round(share + 0.5 * phrase + 0.25 * early + 0.25 * (share = 1.0)::INT, 6) AS rerank FROM f ORDER BY rerank DESC, doc_id LIMIT 50"
 )
 def rerank_features(spark, d):
-    return S.rerank(table(spark, d, "documents").select("doc_id", "text"), ["of", "the", "ea"]).drop("text").orderBy(F.desc("rerank"), "doc_id").limit(50)
+    return S.rerank(table(spark, d, "documents", spread=True).select("doc_id", "text"), ["of", "the", "ea"]).drop("text").orderBy(F.desc("rerank"), "doc_id").limit(50)
 
 
 @query("SELECT o_orderkey, code FROM (SELECT o_orderkey, unnest(regexp_extract_all('Order ' || o_orderkey || ' billed as INV-' || o_orderkey || ' and PO/' || o_custkey || '.', '\\b[A-Z]{2,6}[-/][0-9]+(?:-[0-9]+)*\\b')) AS code FROM orders) WHERE code LIKE 'INV-1%'")
@@ -132,7 +132,7 @@ def repair_counts_diff(spark, d):
 def parse_number_roundtrip(spark, d):
     q = F.col("l_quantity").cast("int").cast("string")
     money = F.concat(F.lit("Rs. "), indian_grouping(F.floor(F.col("l_extendedprice") * 100)))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", parse_number(q).alias("plain"), parse_number(F.concat(F.lit("("), q, F.lit(")"))).alias("minus"), parse_number(F.concat(q, F.lit("%"))).alias("percent"), parse_number(F.concat(q, F.lit(" lakh"))).alias("lakhs"), parse_number(money).alias("grouped"))
+    return table(spark, d, "lineitem", spread=True).select("l_orderkey", "l_linenumber", parse_number(q).alias("plain"), parse_number(F.concat(F.lit("("), q, F.lit(")"))).alias("minus"), parse_number(F.concat(q, F.lit("%"))).alias("percent"), parse_number(F.concat(q, F.lit(" lakh"))).alias("lakhs"), parse_number(money).alias("grouped"))
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS y1, month(o_orderdate)::INT AS m1, month(o_orderdate)::INT AS m2, month(o_orderdate)::INT AS m3 FROM orders")
@@ -162,7 +162,7 @@ def numeric_col_inference(spark, d):
 
 
 def _orders_as_text(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "d MMMM yyyy").alias("Order Date"), F.col("o_orderpriority").alias("Priority"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Amount"))
+    return table(spark, d, "orders", spread=True).select("o_orderkey", F.date_format("o_orderdate", "d MMMM yyyy").alias("Order Date"), F.col("o_orderpriority").alias("Priority"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Amount"))
 
 
 def _ask(spark, d, question: str) -> DataFrame:
@@ -224,12 +224,12 @@ def timeline_events(spark, d):
 
 @query("WITH x AS (SELECT source, doc_id, unnest(list_distinct([string_split(trim(text, chr(10)), chr(10))[1], string_split(trim(text, chr(10)), chr(10))[-1]])) AS line FROM documents), y AS (SELECT DISTINCT source, doc_id, regexp_replace(line, '[0-9]+', '#', 'g') AS line FROM x WHERE length(line) BETWEEN 1 AND 80), s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, line, count(*) AS n_docs FROM y JOIN s USING (source) GROUP BY source, line, n HAVING count(*) >= 2 AND count(*) >= 0.02 * n")
 def running_header_detect(spark, d):
-    return X.running_headers(table(spark, d, "documents"), "source")
+    return X.running_headers(table(spark, d, "documents", spread=True), "source")
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.clean(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.md5(X.clean(F.col("text"))).alias("digest"))
 
 
 @query("WITH e AS (SELECT o_custkey AS a, c_nationkey AS n FROM orders JOIN customer ON c_custkey = o_custkey) SELECT n_name AS node, 'customer' AS rel, count(DISTINCT a) AS weight FROM e JOIN nation ON n_nationkey = n GROUP BY n_name")
@@ -254,18 +254,18 @@ def node_mentions(spark, d):
 
 @query("WITH h AS (SELECT doc_id, substr(sha256(text), 1, 16) AS p FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(('0x' || substr(a.p, 1, 8))::BIGINT, ('0x' || substr(b.p, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.p, 9, 8))::BIGINT, ('0x' || substr(b.p, 9, 8))::BIGINT)))::BIGINT AS bits FROM h a JOIN h b ON a.doc_id < b.doc_id WHERE bits <= 3")
 def phash_hamming(spark, d):
-    hashes = table(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("phash"))
+    hashes = table(spark, d, "documents", spread=True).select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("phash"))
     return X.near_hashes(hashes, 3)
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY sha HAVING count(*) > 1")
 def near_dup_hash(spark, d):
-    return X.same_text(table(spark, d, "documents"))
+    return X.same_text(table(spark, d, "documents", spread=True))
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i = 0 OR (i * 5) // n <> ((i - 1) * 5) // n")
 def evenly_spaced_sample(spark, d):
-    return X.evenly_spaced(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+    return X.evenly_spaced(table(spark, d, "documents", spread=True).select("source", "doc_id"), "source", "doc_id", 5)
 
 
 @query("SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 2")
@@ -276,7 +276,7 @@ def max_two_per_kind(spark, d):
 
 @query(f"SELECT lang, term, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({TOKENS.format('text')}) AS term FROM documents) WHERE length(term) >= 6 GROUP BY lang, term)) WHERE rn <= 10")
 def topic_words(spark, d):
-    words = table(spark, d, "documents").select("lang", F.explode(S.tokens(F.col("text"))).alias("term")).where("length(term) >= 6")
+    words = table(spark, d, "documents", spread=True).select("lang", F.explode(S.tokens(F.col("text"))).alias("term")).where("length(term) >= 6")
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
     return words.groupBy("lang", "term").agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("lang", "term", "n")
 
@@ -292,7 +292,7 @@ def term_overlap(spark, d):
 def eval_recall_precision(spark, d):
     labels = table(spark, d, "labels").withColumn("k", F.col("doc_id") % 10)
     w = Window.partitionBy("k").orderBy(F.desc("n_chars"), "doc_id")
-    results = labels.join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("k", "doc_id", "rank")
+    results = labels.join(table(spark, d, "documents", spread=True).select("doc_id", "n_chars"), "doc_id").withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("k", "doc_id", "rank")
     return precision_recall(results, labels.where("quality = 1").select("k", "doc_id"), "k", "doc_id")
 
 
@@ -333,4 +333,4 @@ def facts(spark, d):
 
 @query()
 def chunks(spark, d):
-    return X.chunk(table(spark, d, "documents"))
+    return X.chunk(table(spark, d, "documents", spread=True))
