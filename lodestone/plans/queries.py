@@ -14,6 +14,7 @@ from lodestone.operators import relational as R
 from lodestone.operators import search as S
 from lodestone.operators import tables as T
 from lodestone.operators import text as X
+from lodestone.operators import verify as Y
 from lodestone.operators.evaluate import precision_recall
 from lodestone.sources.files import table
 from lodestone.streaming import events as V
@@ -334,3 +335,12 @@ def facts(spark, d):
 @query()
 def chunks(spark, d):
     return X.chunk(table(spark, d, "documents", spread=True))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey + 100001 AS VARCHAR) AS value FROM orders WHERE o_orderkey % 7 = 0")
+def claim_check(spark, d):
+    """Answers that state another number than their sources in a seventh of the rows: the values that the sources lack."""
+    number = F.col("o_orderkey") + 100000
+    stated = F.when(F.col("o_orderkey") % 7 == 0, number + 1).otherwise(number)
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("It weighs "), F.format_number(stated, 0), F.lit(" in all.")).alias("answer"), F.concat(F.lit("Weight "), number.cast("string")).alias("sources"))
+    return rows.select("o_orderkey", F.explode(Y.unsupported(F.col("answer"), F.col("sources"))).alias("value"))
