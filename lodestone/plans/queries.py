@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.numbers import fiscal_quarter, fiscal_year, indian_grouping, month_of, parse_number, year_of
+from lodestone.operators import answers as A
 from lodestone.operators import entities as E
 from lodestone.operators import relational as R
 from lodestone.operators import search as S
@@ -344,3 +345,34 @@ def claim_check(spark, d):
     stated = F.when(F.col("o_orderkey") % 7 == 0, number + 1).otherwise(number)
     rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("It weighs "), F.format_number(stated, 0), F.lit(" in all.")).alias("answer"), F.concat(F.lit("Weight "), number.cast("string")).alias("sources"))
     return rows.select("o_orderkey", F.explode(Y.unsupported(F.col("answer"), F.col("sources"))).alias("value"))
+
+
+@query("""
+WITH q AS (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'table' WHEN 1 THEN 'compare' WHEN 2 THEN 'image' WHEN 3 THEN 'entity' ELSE 'semantic' END AS leading,
+  CASE k WHEN 0 THEN 'table,semantic' WHEN 1 THEN 'compare,semantic' WHEN 2 THEN 'image' WHEN 3 THEN 'entity,keyword,semantic' ELSE 'semantic' END AS routes
+FROM q
+""")
+def question_routes(spark, d):
+    wording = F.array(*map(F.lit, ("how many parts are left", "what changed since then", "show the photo", "who is behind PO-1234", "a quiet word")))
+    found = table(spark, d, "part").select("p_partkey", A.routes(F.get(wording, (F.col("p_partkey") % 5).cast("int"))).alias("found"))
+    return found.select("p_partkey", A.primary(F.col("found")).alias("leading"), F.array_join("found", ",").alias("routes"))
+
+
+@query("""
+SELECT o_orderkey, 'Paid' || CASE WHEN k BETWEEN 1 AND 3 THEN ' [1][' || k || '].' ELSE ' [1].' END AS text, CASE WHEN k BETWEEN 1 AND 3 THEN 0 ELSE 1 END AS n_invalid
+FROM (SELECT o_orderkey, o_custkey % 6 AS k FROM orders)
+""")
+def citation_check(spark, d):
+    text = F.concat(F.lit("Paid [1, "), (F.col("o_custkey") % 6).cast("string"), F.lit("] ."))
+    checked = table(spark, d, "orders").select("o_orderkey", A.check_citations(text, F.lit(3)).alias("c"))
+    return checked.select("o_orderkey", F.col("c.text").alias("text"), F.size("c.invalid").alias("n_invalid"))
+
+
+@query("""
+SELECT o_orderkey, 'The order goes to priority ' || o_orderpriority || '. [1]' AS text FROM orders
+""")
+def citation_attach(spark, d):
+    answer = F.concat(F.lit("The order goes to priority "), F.col("o_orderpriority"), F.lit(". Never pay USD 987654321 again for anything."))
+    rows = table(spark, d, "orders").select("o_orderkey", A.attach_citations(answer, F.array(F.concat(F.lit("Order of priority "), F.col("o_orderpriority"), F.lit(" goes out")), F.lit("something else"))).alias("a"))
+    return rows.select("o_orderkey", F.col("a.text").alias("text"))
