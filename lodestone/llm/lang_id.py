@@ -21,6 +21,8 @@ from lodestone.llm.common import chunks, utf8
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4, 5)
+#: Bytes of text whose n-grams are worked out at once when scoring.
+BLOCK = 1 << 17
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -35,19 +37,22 @@ class Model:
     threshold: float
 
     def probabilities(self, column: pa.Array):
-        """For each run of rows: (first row, probabilities)."""
-        data, offsets = utf8(pc.utf8_lower(column))
-        for first, part, edges in chunks(data, offsets, 1 << 20):
-            total, count = np.zeros((len(edges) - 1, len(self.languages))), np.zeros(len(edges) - 1)
-            for bucket, row in _ngrams(part, edges, len(self.table)):
-                value = self.table[bucket]
-                known = value.any(axis=1)
-                sums = np.concatenate([np.zeros((1, value.shape[1])), np.cumsum(value, axis=0, dtype=np.float64)])
-                seen = np.concatenate([[0], np.cumsum(known)])
-                at = np.searchsorted(row, np.arange(len(edges)))
-                total += sums[at[1:]] - sums[at[:-1]]
-                count += seen[at[1:]] - seen[at[:-1]]
-            logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        """For each run of rows: (first row, probabilities). A very long text is scored in blocks of BLOCK bytes."""
+        known = self.table.any(axis=1)
+        for first, _, near in chunks(*utf8(column)):
+            data, offsets = utf8(pc.utf8_lower(column.slice(first, len(near) - 1)))
+            total, count = np.zeros((len(self.languages), len(offsets) - 1)), np.zeros(len(offsets) - 1)
+            for a in range(0, len(data), BLOCK):
+                for bucket, row in _ngrams(data, offsets, len(self.table), a, a + BLOCK):
+                    met = known[bucket]
+                    bucket, row = bucket[met], row[met]
+                    if not len(row):
+                        continue
+                    low, high = row[0], row[-1] + 1
+                    count[low:high] += np.bincount(row - low, minlength=high - low)
+                    for k in range(len(self.languages)):
+                        total[k, low:high] += np.bincount(row - low, self.table[bucket, k], high - low)
+            logits = (total.T / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
             yield first, _softmax(logits)
 
 
@@ -60,15 +65,19 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = _LETTERS[128:] = True
 
 
-def _ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int):
+def _ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int, start: int = 0, stop: int | None = None):
     """For each n: (bucket, row) of the n-grams of letters within words, a word's borders included, in order of the text.
 
-    Every byte that is no letter counts as one border byte.
+    Every byte that is no letter counts as one border byte. Only n-grams that begin from ``start`` to before ``stop``
+    count, so blocks add up to the whole.
     """
-    if not len(data):
+    stop = len(data) if stop is None else min(stop, len(data))
+    if start >= stop:
         return
+    end = min(len(data), stop + SIZES[-1] - 1)
+    data, edges = data[start:end], np.clip(offsets, start, end) - start
     code = np.where(_LETTERS[data], data, 32).astype(np.uint64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     inside = code != 32
     gram = np.zeros(len(data), np.uint64)
     fits = np.ones(len(data), bool)
@@ -82,7 +91,8 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int):
             fits &= row[:m] == row[n - 1 :]
             if n > 2:
                 fits &= inside[n - 2 : n - 2 + m]  # only the first and the last byte may be a border
-        keep = fits & (inside[:m] | inside[n - 1 :]) if n > 1 else inside
+        keep = fits & (inside[:m] | inside[n - 1 :]) if n > 1 else inside.copy()
+        keep[stop - start :] = False
         h = (gram[keep] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         yield (h >> np.uint64(40)).astype(np.int64) % buckets, row[:m][keep]
 
@@ -186,6 +196,13 @@ def judge(text: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray,
     return names[lang], best, ~letters | (best < (model.threshold if model else 1))
 
 
+def _slices(batches, rows: int = 1000):
+    """The batches in pieces of at most so many rows, so that little is held at once."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def learn(docs: DataFrame) -> Model | None:
     """A model from the documents' own labels, of rows that aren't held out; None without any."""
     texts, languages = sample(_view(docs))
@@ -200,7 +217,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array(~judge(batch.column(at), model)[2]))
 
     return docs.mapInArrow(keep, docs.schema)
@@ -218,7 +235,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or learn(docs)
 
     def score(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             names, best, rejected = judge(batch.column(2), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], [f.split()[0] for f in RESULT.split(", ")])
 

@@ -281,3 +281,17 @@ def test_language_id(spark):
     assert kept.columns == df.columns and {240, 241, 242}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 238
     assert {r["lang_pred"] for r in lang_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert lang_id.identify(df.limit(0)).count() == 0
+
+
+def test_language_blocks_add_up():
+    from lodestone.llm.common import utf8
+
+    texts = ["kala moto " * 40, "", "x" * 90, "é a.b  ", "lapa"]
+    data, offsets = utf8(pa.array(texts))
+    whole = [list(zip(b.tolist(), r.tolist(), strict=True)) for b, r in lang_id._ngrams(data, offsets, 1 << 10)]
+    for block in (1, 7, 64):
+        parts = [[] for _ in whole]
+        for a in range(0, len(data), block):
+            for k, (b, r) in enumerate(lang_id._ngrams(data, offsets, 1 << 10, a, a + block)):
+                parts[k] += zip(b.tolist(), r.tolist(), strict=True)
+        assert parts == whole
