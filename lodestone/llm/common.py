@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -65,6 +66,26 @@ def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // per_partition))
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """The function over Arrow batches, after whose end the worker, which Spark keeps for other tasks, holds no unused memory."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its rows' offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

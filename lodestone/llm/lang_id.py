@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, utf8
+from lodestone.llm.common import chunks, lean, utf8
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4, 5)
@@ -220,7 +220,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in _slices(batches):
             yield batch.filter(pa.array(~judge(batch.column(at), model)[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -239,4 +239,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             names, best, rejected = judge(batch.column(2), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], [f.split()[0] for f in RESULT.split(", ")])
 
-    return view.select("doc_id", "held_out", "text").mapInArrow(score, RESULT)
+    return view.select("doc_id", "held_out", "text").mapInArrow(lean(score), RESULT)

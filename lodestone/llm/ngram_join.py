@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, Workspace, checked_broadcast, chunks, mix, partitions, utf8, word_hashes, words
+from lodestone.llm.common import LOWER, Workspace, checked_broadcast, chunks, lean, mix, partitions, utf8, word_hashes, words
 from lodestone.llm.components import components
 
 #: Counters of the shingles' hashed counts, 1 << BITS: a fixed size at every scale.
@@ -120,8 +120,8 @@ def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
                 total += _unpack(raw)
         yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], ["counts"])
 
-    parts = work.write(docs.select("text").mapInArrow(count, "counts binary"), "counts")
-    merged = parts.coalesce(6).mapInArrow(add, "counts binary").collect()  # at most 6 rows of some MB
+    parts = work.write(docs.select("text").mapInArrow(lean(count), "counts binary"), "counts")
+    merged = parts.coalesce(6).mapInArrow(lean(add), "counts binary").collect()  # at most 6 rows of some MB
     work.drop("counts")
     total = sum((_unpack(r[0]) for r in merged), np.zeros(1 << BITS, np.int64))
     return np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
@@ -142,7 +142,7 @@ def prefix_table(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
                 sig, n, l, p = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(p, pa.binary())], ["doc_id", "sig", "n", "l", "prefix"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(lean(run), SETS)
 
 
 _POSTING = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("place", "<i4")])
@@ -179,7 +179,7 @@ def _packed(sets: DataFrame, parts: int) -> DataFrame:
         if total:
             yield flush()
 
-    return sets.select("sig", "n", "prefix").mapInArrow(run, "part long, tokens binary, sigs binary, sizes binary, places binary")
+    return sets.select("sig", "n", "prefix").mapInArrow(lean(run), "part long, tokens binary, sigs binary, sizes binary, places binary")
 
 
 def _lists(batches):
@@ -282,7 +282,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
         both = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("prefix").alias("pa"), F.col("n").alias("na")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("prefix").alias("pb"), F.col("n").alias("nb")), "b")
-        likely = work.write(both.select("a", "b", "la", "pa", "na", "lb", "pb", "nb").mapInArrow(share, "a long, b long"), f"{name}-likely")
+        likely = work.write(both.select("a", "b", "la", "pa", "na", "lb", "pb", "nb").mapInArrow(lean(share), "a long, b long"), f"{name}-likely")
         work.drop(f"{name}-heads")
 
         texts = self.docs.join(members(likely, "texts"), "doc_id", "left_semi")
@@ -296,7 +296,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
         found = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return work.write(found.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), f"{name}-links")
+        return work.write(found.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long"), f"{name}-links")
 
     def links(self) -> DataFrame:
         """(v, label) of the components of all links between classes, by their representatives."""
@@ -304,7 +304,7 @@ class _Join:
         postings = self.sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
         parts = max(32, partitions(self.spark, postings // 8, 1_000_000))
         dealt = _packed(self.sets, parts).repartition(parts, "part")
-        raw = work.write(dealt.mapInArrow(_first_pairs(percent), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
+        raw = work.write(dealt.mapInArrow(lean(_first_pairs(percent)), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
         first = raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct()
         links = self.verify(first, "first")
         labels = components(links, work, "first-components")

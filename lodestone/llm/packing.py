@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Workspace
+from lodestone.llm.common import Workspace, lean
 from lodestone.llm.tokenizer import default_path, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,7 +43,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, end_
                 place += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(before), batch.column(0).slice(first, n), pa.array(sizes), pa.array([raw[a:b] + end for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["part", "before", "doc_id", "n", "ids"])
 
-    stream = tokens.write(rows.mapInArrow(encode, "part long, before long, doc_id long, n long, ids binary"), "stream")
+    stream = tokens.write(rows.mapInArrow(lean(encode), "part long, before long, doc_id long, n long, ids binary"), "stream")
     totals = sorted(map(tuple, stream.groupBy("part").agg(F.sum("n")).collect()))
     base, place = {}, 0
     for part, n in totals:
@@ -67,4 +67,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, end_
             arrays = [pa.array(c, pa.int64()) for c in out[:7]] + ([pa.array(out[7], pa.list_(pa.int32()))] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
-    return stream.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return stream.mapInArrow(lean(cut), PIECES + (", ids array<int>" if with_ids else ""))
