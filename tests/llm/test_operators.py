@@ -1,6 +1,7 @@
 """The operators of the llm subpackage against brute force, with nulls, blanks, repeats, empty tables and clashing names."""
 
 import collections
+import itertools
 import re
 import zlib
 
@@ -224,6 +225,52 @@ def test_decontamination(spark):
     assert decontamination.overlaps(df.limit(0), bench).count() == 0 and decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def fits_somewhere(mask, agrees):
+    return any(all(agrees[at + i] for i, c in enumerate(mask) if c == "1") for at in range(len(agrees) - len(mask) + 1))
+
+
+@pytest.mark.parametrize("agree", [0.6, 0.8, 0.9, 1.0])
+def test_masks_miss_no_accepted_pattern(agree):
+    for n in range(1, 16):
+        differ = max(k for k in range(n + 1) if n - k >= agree * n)
+        for gone in itertools.combinations(range(n), differ):
+            agrees = [i not in gone for i in range(n)]
+            assert any(fits_somewhere(m, agrees) for m in decontamination.masks(n, agree)), (n, gone)
+
+
+def plain_overlaps(texts, items, window=15, agree=0.8):
+    """Every aligned window of every document and item, without masks."""
+    split = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    out = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            w, v = split(t), split(item)
+            n = min(window, len(v))
+            found = [(-sum(x == y for x, y in zip(w[a : a + n], v[b : b + n], strict=True)), a, b) for a in range(len(w) - n + 1) for b in range(len(v) - n + 1)] if n else []
+            best = min(found, default=(0, 0, 0))
+            if n and -best[0] >= agree * n:
+                out.add((d, k, -best[0], n, *best[1:]))
+    return out
+
+
+def test_decontamination_equals_search_without_masks(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [list(rng.choice(words, n)) for n in (10, 10, 10, 10, 11, 12, 13, 14, 15, 15, 15, 16, 20, 30)]
+    texts = []
+    for item in items:
+        for copy in range(9):
+            near = item.copy()
+            for k in rng.permutation(len(item))[: min(copy // 2, len(item))]:
+                near[k] = "other"
+            texts.append(" ".join([*rng.choice(words, rng.integers(0, 20)), *near, *rng.choice(words, rng.integers(0, 20))]))
+    whole = [" ".join(x) for x in items]
+    bench = spark.createDataFrame(list(enumerate(whole)), "item_id long, text string")
+    want = plain_overlaps(texts, whole)
+    rows = decontamination.overlaps(docs(spark, texts), bench).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > 40
+
+
 def plain_components(texts):
     sets = {}
     for i, t in texts.items():
