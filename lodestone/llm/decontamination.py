@@ -56,16 +56,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 15, agree: flo
     """A row for each document and benchmark item found in it: doc_id, item_id, n_agree, n_compared, doc_start, item_start.
 
     An item is found where, in some window of ``window`` aligned words (the whole item, if that is shorter), a share of at
-    least ``agree`` agrees word by word. The row tells the best window: most words that
-    agree, then the earliest in the document, then in the item. Items of fewer than 10 words
-    and null texts neither find nor are found. Rows of null ids take no part. Rows that repeat an id count as one document or item with several texts. An
+    least ``agree`` agrees word by word; items of any length are searched. The row tells the best window: most words that
+    agree, then the earliest in the document, then in the item. Null texts and those without words neither find nor are
+    found. Rows of null ids take no part. Rows that repeat an id count as one document or item with several texts. An
     empty table on either side gives no rows; other columns are not read.
 
     The benchmark's seeds are broadcast in blocks of at most BROADCAST_ROWS rows; more blocks mean more scans.
     """
     work = Workspace(docs.sparkSession, "overlaps")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), word_list(F.col(item_text)).alias("words")).distinct()
-    items = work.write(items.where(F.size("words") >= 10).withColumn("item_words", F.col("words")).select("item_id", "words", F.xxhash64("words").alias("item_key")), "items")
+    items = work.write(items.where(F.size("words") >= 1).withColumn("item_words", F.col("words")).select("item_id", "words", F.xxhash64("words").alias("item_key")), "items")
     n = F.least(F.lit(window), F.size("words"))
     lengths: dict[str, list[int]] = {}  # mask: the numbers of compared words that need it
     for size in [r[0] for r in items.select(n).distinct().collect()] or [window]:

@@ -256,7 +256,7 @@ def plain_overlaps(texts, items, window=15, agree=0.8):
 def test_decontamination_equals_search_without_masks(spark):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(300)]
-    items = [list(rng.choice(words, n)) for n in (10, 10, 10, 10, 11, 12, 13, 14, 15, 15, 15, 16, 20, 30)]
+    items = [list(rng.choice(words, n)) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 15, 15, 16, 20, 30)]
     texts = []
     for item in items:
         for copy in range(9):
@@ -268,7 +268,14 @@ def test_decontamination_equals_search_without_masks(spark):
     bench = spark.createDataFrame(list(enumerate(whole)), "item_id long, text string")
     want = plain_overlaps(texts, whole)
     rows = decontamination.overlaps(docs(spark, texts), bench).collect()
-    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > 40
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > 80
+
+
+def test_short_item_copied_into_a_document(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string")
+    df = docs(spark, ["Quiz: what is the capital of France? Paris.", "The capital is far away."])
+    assert [(r["doc_id"], r["n_agree"], r["doc_start"]) for r in decontamination.overlaps(df, bench).collect()] == [(0, 6, 1)]
+    assert {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()} == {1}
 
 
 def plain_components(texts):
