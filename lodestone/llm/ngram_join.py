@@ -327,9 +327,14 @@ class _Join:
                 two = rest.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
                 pairs = one.join(two, "token").where((F.col("part_a") < F.col("part_b")) & fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))).select("sig_a", "n_a", "sig_b", "n_b")
             pairs = work.write(pairs.distinct(), f"{name}-found")
+            found = not pairs.isEmpty()
+            # leaders that fit nobody leave the other pairs of their lists to the next rounds
+            done = not found and (name == "last" or open_lists.isEmpty())
             work.drop(f"{name}-lists")
-            if pairs.isEmpty():
+            if done:
                 break
+            if not found:
+                continue
             links = links.unionByName(self.verify(pairs, name))
             labels = components(links, work, f"{name}-components")
         return labels

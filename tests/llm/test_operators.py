@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format, decontamination, lang_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_counts, tokenizer, voronoi_topk
+from lodestone.llm.common import Workspace
 
 DOCS = "doc_id long, text string, score double, x string"
 
@@ -317,6 +318,26 @@ def test_near_duplicates(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_leaders_that_fit_nobody_do_not_end_the_search(spark):
+    """A list of sets of 40, 100, 100 and 101: the 2nd and 4th are similar, the first leader drawn is the 1st."""
+    token, work = 77, Workspace(spark, "planted")
+    hashed = spark.range(1, 400).select("id", F.xxhash64(F.lit(token).cast("long"), "id", F.lit(0)).alias("draw"))
+    low = hashed.orderBy("draw").first()["id"]
+    drawn = [low, *(1000 + i for i in (1, 2, 3))]
+    others = spark.createDataFrame([(x,) for x in drawn], "id long").select("id", F.xxhash64(F.lit(token).cast("long"), "id", F.lit(0)).alias("draw"))
+    assert others.orderBy("draw").first()["id"] == low
+    late = np.append(np.arange(1, 26), token).astype(np.uint64).tobytes()
+    first = np.array([token], np.uint64).tobytes()
+    rows = [(k, sig, n, 1, p) for k, (sig, n, p) in enumerate(zip(drawn, (40, 100, 100, 101), (first, first, late, first), strict=True))]
+    join = object.__new__(ngram_join._Join)
+    join.spark, join.work, join.percent = spark, work, 75
+    join.sets = spark.createDataFrame(rows, ngram_join.SETS)
+    join.classes = join.sets.select("sig", "n", "doc_id")
+    place = lambda side: join.classes.select(F.col("sig").alias(f"sig_{side}"), F.col("doc_id").alias(side))
+    join.verify = lambda pairs, name: work.write(pairs.join(place("a"), "sig_a").join(place("b"), "sig_b").select("a", "b"), f"{name}-links")
+    assert {tuple(r) for r in join.links().collect()} == {(1, 1), (3, 1)}
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(7)
     make = {"aa": ["kala", "moto", "lapa", "tuli"], "bb": ["strecht", "grompf", "schnell", "pfiff"]}
