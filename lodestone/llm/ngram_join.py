@@ -257,12 +257,12 @@ class _Join:
         work, percent, size = self.work, self.percent, self.size
         left = self.classes.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("doc_id").alias("a"))
         right = self.classes.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("doc_id").alias("b"))
-        pairs = work.write(pairs.join(left, ["sig_a", "n_a"]).join(right, ["sig_b", "n_b"]).select("a", "b"), f"{name}-pairs")
+        pairs = work.write(pairs.join(left, ["sig_a", "n_a"]).join(right, ["sig_b", "n_b"]).select("a", "sig_a", "n_a", "b", "sig_b", "n_b"), f"{name}-pairs")
 
         def members(of: DataFrame, step: str) -> DataFrame:
             return checked_broadcast(work.write(of.select(F.col("a").alias("doc_id")).unionByName(of.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-{step}-ids"))
 
-        heads = self.sets.join(members(pairs, "heads"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("sig", "l", "prefix", "n")).alias("x")).select("doc_id", "x.l", "x.prefix", "x.n")
+        heads = self.sets.join(members(pairs, "heads"), "doc_id", "left_semi").groupBy("doc_id", "sig", "n").agg(F.max(F.struct("l", "prefix")).alias("x")).select("doc_id", "sig", "n", "x.l", "x.prefix")
         heads = work.write(heads, f"{name}-heads")
 
         levels = self.levels
@@ -281,8 +281,10 @@ class _Join:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-        both = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("prefix").alias("pa"), F.col("n").alias("na")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("prefix").alias("pb"), F.col("n").alias("nb")), "b")
-        likely = work.write(both.select("a", "b", "la", "pa", "na", "lb", "pb", "nb").mapInArrow(lean(share), "a long, b long"), f"{name}-likely")
+        # an id may have several texts: each pair is tested with the sets it was found by
+        head = lambda x: heads.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l{x}"), F.col("prefix").alias(f"p{x}"))
+        both = pairs.join(head("a"), ["a", "sig_a", "n_a"]).join(head("b"), ["b", "sig_b", "n_b"])
+        likely = work.write(both.select("a", "b", "la", "pa", "n_a", "lb", "pb", "n_b").mapInArrow(lean(share), "a long, b long").distinct(), f"{name}-likely")
         work.drop(f"{name}-heads")
 
         texts = self.docs.join(members(likely, "texts"), "doc_id", "left_semi")

@@ -318,6 +318,15 @@ def test_near_duplicates(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_each_text_of_an_id(spark):
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(4)]
+    near = [t + " more" for t in texts]
+    rows = ngram_join.near_duplicates(docs(spark, [*texts, *near], [1, 1, 1, 1, 2, 3, 4, 5])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(i, 1) for i in range(1, 6)}
+
+
 def test_leaders_that_fit_nobody_do_not_end_the_search(spark):
     """A list of sets of 40, 100, 100 and 101: the 2nd and 4th are similar, the first leader drawn is the 1st."""
     token, work = 77, Workspace(spark, "planted")
