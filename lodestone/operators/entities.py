@@ -17,6 +17,11 @@ PATTERNS = {
     "pan": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
 }
 
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = "no|nos|inc|ltd|pvt|co|corp|mr|mrs|ms|dr|prof|shri|smt|sri|st|rd|vs|etc|approx|dept|govt|fig|eg|ie|jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec|sq|ext|min|max|ref|hon|llp|plc|gmbh|pp|vol|al|rs|inv|gst|pan|tan|cin"
+#: Entities of a sentence that may be related without a name for it.
+POOL = 12
+
 
 def entities(text: Column) -> Column:
     """array<struct<kind, value>>: each kind's distinct values."""
@@ -33,12 +38,32 @@ def entity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("norm", F.regexp_replace(F.lower("value"), r"[\s,]+", ""))
 
 
-def relations(rows: DataFrame, id_col: str, subject: str, links: dict[str, str]) -> DataFrame:
-    """(src, rel, dst, place): from each document's subject kind to other kinds, named by ``links``."""
-    subjects = rows.where(F.col("kind") == subject).groupBy(id_col).agg(F.min("norm").alias("src"))
-    others = rows.where(F.col("kind").isin(*links))
-    rel = F.create_map(*[F.lit(x) for kv in links.items() for x in kv])
-    return others.join(subjects, id_col).select("src", F.element_at(rel, F.col("kind")).alias("rel"), F.col("norm").alias("dst"), F.col(id_col).alias("place"))
+def sentences(text: Column) -> Column:
+    """Sentences: cut at line feeds and after full stops, exclamation and question marks, not after abbreviations or single letters."""
+    return F.split(text, rf"(?<![.!?])(?<!(?<![A-Za-z])(?<![A-Za-z]\.)(?i:{ABBREVIATIONS}|[a-z]))[.!?]+[\s\u00a0]+|\n+")
+
+
+def relations(docs: DataFrame, id_col: str, subject: str, links: dict[str, str], text_col: str = "text") -> DataFrame:
+    """(src, rel, dst, place), each once: what is said together in a sentence.
+
+    Every entity of the subject's kind relates to every one of the kinds in ``links``, which names the relation. Other
+    pairs of the first POOL entities of a sentence have ``co_occurs_with``, the smaller (kind, norm) first, but for
+    amounts and dates among themselves.
+    """
+    said = docs.select(id_col, F.explode(sentences(F.col(text_col))).alias("s")).withColumn("e", entities(F.col("s"))).where(F.size("e") > 1)
+    norm = lambda v: F.regexp_replace(F.lower(v), r"[\s,]+", "")
+    placed = F.array_sort(F.transform("e", lambda x: F.struct(F.position(x["value"], F.col("s")).alias("at"), x["kind"].alias("kind"), norm(x["value"]).alias("norm"))))
+    # by their first place, each (kind, norm) once; the generators keep the optimizer from working an array out for each use
+    once = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, 1, i), lambda y: (y["kind"] == x["kind"]) & (y["norm"] == x["norm"])))
+    said = said.select(id_col, F.explode(F.array(placed)).alias("e")).select(id_col, F.explode(F.array(once(F.col("e")))).alias("e"))
+    a, b = F.col("a"), F.col("b")
+    pairs = said.select(id_col, F.col("e"), F.posexplode("e").alias("i", "a")).select(id_col, "i", "a", F.posexplode("e").alias("j", "b")).where("i != j")
+    names = F.create_map(*[F.lit(x) for kv in links.items() for x in kv])
+    named = lambda x, y: (x["kind"] == subject) & y["kind"].isin(*links)
+    loose = a["kind"].isin("money", "date") & b["kind"].isin("money", "date")
+    beside = (F.struct(a["kind"], a["norm"]) < F.struct(b["kind"], b["norm"])) & (F.greatest("i", "j") < POOL) & ~loose & ~named(b, a)
+    rel = F.when(named(a, b), F.try_element_at(names, b["kind"])).when(beside, "co_occurs_with")
+    return pairs.select(a["norm"].alias("src"), rel.alias("rel"), b["norm"].alias("dst"), F.col(id_col).alias("place")).where(F.col("rel").isNotNull()).distinct()
 
 
 def labelled_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,6 +120,14 @@ def test_entities(spark):
     assert {(r["kind"], r["value"]) for r in rows} == {("code", "INV-12"), ("date", "3 April 2026"), ("money", "INR 1,200"), ("email", "a.b@c.org"), ("duration", "60 days")}
 
 
+def test_relations_of_several_subjects(spark):
+    text = "Invoice No. INV-12 dated 3 April 2026 for Rs. 500 and INV-13 of 2026-05-01.\nPaid INR 1,200 for INV-14 to a.b@c.org. INV-15 was late! USD 7 is open"
+    rows = E.relations(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), "doc_id", "code", {"date": "dated", "money": "has_amount"}).collect()
+    first = {(c, r, x, 1) for c in ("inv-12", "inv-13") for r, x in (("dated", "3april2026"), ("dated", "2026-05-01"), ("has_amount", "rs.500"))}
+    second = {("inv-14", "has_amount", "inr1200", 1), ("inv-14", "co_occurs_with", "a.b@c.org", 1), ("a.b@c.org", "co_occurs_with", "inr1200", 1), ("inv-12", "co_occurs_with", "inv-13", 1)}
+    assert {tuple(r) for r in rows} == first | second and len(rows) == len(first | second)
+
+
 def test_stream_registration(spark, tmp_path):
     from lodestone.streaming.events import register as run
     from lodestone.streaming.events import stream
