@@ -1,4 +1,4 @@
-"""Lexical and dense retrieval, rank fusion and re-ranking as DataFrame plans."""
+"""Lexical and dense retrieval, rank fusion and word features of hits as DataFrame plans."""
 
 from __future__ import annotations
 
@@ -78,7 +78,7 @@ def term_overlap(left: Column, right: Column) -> Column:
 
 
 def rerank(hits: DataFrame, terms: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Explained features on hits: all terms present, phrase, share of terms, early first place, and their sum."""
+    """Word features on hits: share of terms, phrase, early first place, and ``rerank``, a weighted sum of its own, not the reference's re-ranking."""
     words = tokens(F.col(text_col))
     wanted = F.array(*map(F.lit, terms))
     share = F.size(F.array_intersect(F.array_distinct(words), wanted)) / F.lit(float(len(set(terms))))
