@@ -119,6 +119,26 @@ OTHERS = (
     ("proprietary", "proprietary and confidential|unauthori[sz]ed copying(?: of this file)?", 45, 0.7),
 )
 
+#: Sentences of the licenses' own texts, each a signature: label, pattern. All have the same priority and confidence.
+TEXTS = (
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", "remote network interaction use with the gnu general public license"),
+    ("apache-2", "apache license version 2 0 january 2004"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("epl-1", "eclipse public license v 1 0 the accompanying program is provided under the terms"),
+    ("epl-2", "eclipse public license v 2 0 the accompanying program is provided under the terms"),
+    ("gpl-2", "gnu general public license version 2 june 1991"),
+    ("gpl-3", "gnu general public license version 3 29 june 2007"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+)
+
 @dataclass(frozen=True)
 class Rule:
     order: int
@@ -161,6 +181,7 @@ def build_rules() -> list[Rule]:
     """Every form for every name, and the others, in order of priority."""
     made = [(priority, label, form.replace("@", name), confidence, gates, name) for form, priority, confidence, gates in FORMS for label, name in NAMES.items()]
     made += [(priority, label, pattern, confidence, None, pattern) for label, pattern, priority, confidence in OTHERS]
+    made += [(85, label, pattern, 0.9, None, pattern) for label, pattern in TEXTS]
     made.sort(key=lambda x: -x[0])
     out = []
     for i, (priority, label, pattern, confidence, gates, source) in enumerate(made):

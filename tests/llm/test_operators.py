@@ -147,6 +147,25 @@ def test_every_license_rule_can_fire():
         assert label in scanner.scan(f"SPDX-License-Identifier: {plain} end".encode())[5], (label, plain)
 
 
+@pytest.mark.parametrize(
+    ("label", "text"),
+    [
+        ("zlib", "2. Altered source versions must be plainly marked as such, and must not be misrepresented\n   as being the original software."),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\")"),
+        ("epl-2", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")."),
+    ],
+)
+def test_sentences_of_license_texts(label, text):
+    assert label in license_scan.Scanner().scan(text.encode())[5]
+
+
+def test_every_license_sentence_can_fire():
+    scanner = license_scan.Scanner()
+    for label, pattern in license_scan.TEXTS:
+        assert label in scanner.scan(re.sub(r"\(\?[^()]*\)", "", pattern).encode() + b" end")[5], label
+
+
 def test_suppression():
     assert license_scan.suppress([(80, 0, 8, 1), (50, 2, 5, 2), (50, 7, 10, 3), (80, 0, 8, 1)]) == [(80, 0, 8, 1), (50, 7, 10, 3)]
 
