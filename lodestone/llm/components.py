@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping."""
+"""Connected components by minimum labels, hooks of whole trees and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Workspace
 
 
-def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str, start: DataFrame | None = None) -> DataFrame:
     """(v, label): the smallest vertex reachable from each vertex of ``edges`` (a, b).
 
-    In each round a vertex takes the smallest label around it and then its label's label, so chains halve; every
-    round is written to the shared folder. Sums of a vertex's neighbours combine before they are shuffled.
+    In each round a vertex learns the smallest label around it; the vertex that is its label learns it too, and all that
+    have that label with it, so whole trees move at once and long chains end after few rounds. Every round is written
+    to the shared folder. What a vertex's neighbours and a label's vertices say combines before it is shuffled.
+
+    ``start`` may hold labels (v, label) of a graph whose edges are among these, to go on from.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     both = work.write(both, f"{name}-edges")
-    labels = work.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("v"), "label"), f"{name}-0")
+    first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")).select(F.col("a").alias("v"), "low")
+    if start is not None:
+        first = first.join(start, "v", "left").select("v", F.least("low", F.coalesce("label", "low")).alias("low"))
+    labels = work.write(first.select("v", F.col("low").alias("label")), f"{name}-0")
     k = 0
     while True:
         around = both.join(labels, both["b"] == labels["v"]).groupBy(both["a"].alias("v")).agg(F.min("label").alias("near"))
         step = labels.join(around, "v").select("v", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        new = step.join(jump, "next", "left").select("v", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved"))
+        # what the vertices of a label have heard, and where that label's own vertex stands
+        told = F.explode(F.array(F.struct(F.col("label").alias("key"), F.col("next").alias("far")), F.struct(F.col("v").alias("key"), F.col("next").alias("far"))))
+        heard = step.select(told.alias("x")).groupBy("x.key").agg(F.min("x.far").alias("far"))
+        new = step.join(heard, step["label"] == heard["key"], "left").select("v", F.least("next", F.coalesce("far", "next")).alias("new"), "label")
         k += 1
-        written = work.write(new, f"{name}-{k}")
+        written = work.write(new.select("v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), f"{name}-{k}")
         moved = not written.where("moved").isEmpty()
         work.drop(f"{name}-{k - 1}")
         labels = written.select("v", "label")

@@ -1,14 +1,18 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-Documents are sets of 5-word shingles. Shingles are put in one order for all, rarest first by a hashed count over the
-whole corpus. Two sets of Jaccard similarity t share at least l shingles among the first |x| - ceil(t|x|) + l of each,
+Documents are sets of 5-word shingles. Shingles are put in one order for all: those that stand out as frequent from a
+hashed count over the whole corpus come last, the more frequent the later. Two sets of Jaccard similarity t share at least l shingles among the first |x| - ceil(t|x|) + l of each,
 for any l. Every document takes the l whose prefix costs least: a longer prefix meets more lists, but a pair must share
 as many as the smaller l of the two before it is verified. Documents with equal sets are one class and are joined once.
 
-The postings of the prefixes are packed into byte strings and dealt out by shingle. Where a list is long, its members
-are first compared with a leader and with their neighbours by size; pairs whose links already lie in one component
-need no test of their own. What is left of a list, pairs across components, is tested in full, so no link between
-different components is lost.
+The postings of the prefixes are packed into byte strings and dealt out by shingle; a shingle so frequent that its list
+would overfill a task is dealt out in parts. Where a list is long, its members are first compared with a leader and
+with their neighbours by size, then with several drawn leaders; pairs whose links already lie in one component need no
+test of their own. What is left of a list, pairs across components, is tested in full, so no link between different
+components is lost.
+
+Before texts are fetched, a pair must pass a bound from two short parity bitmaps: a bit tells whether an odd number of
+the set's shingles fall on it, so as many shingles at least are in just one of the sets as bits differ.
 """
 
 from __future__ import annotations
@@ -27,6 +31,12 @@ from lodestone.llm.components import components
 BITS = 22
 #: The longest lengthening of a prefix.
 MOST = 4
+#: Members of a list that one task is given; a longer list is dealt out in several parts.
+SPLIT = 500_000
+#: Leaders drawn from each list that is still open, round by round: more each time, as ever fewer members stand apart.
+DRAWS = (3, 12)
+#: The most bits of a parity bitmap.
+BITMAP = 1 << 20
 
 _STEP = np.multiply.accumulate(np.full(16, 0xBF58476D1CE4E5B9, np.uint64))
 
@@ -67,7 +77,23 @@ def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
+def parity(s: np.ndarray) -> bytes:
+    """The set's parity bitmap: at least two bits for each shingle, a power of two."""
+    m = min(BITMAP, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """No more shingles than these are in both sets, by their parity bitmaps; the larger is folded onto the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def prefix(s: np.ndarray, levels: np.ndarray, chance: int, percent: int) -> tuple[int, np.ndarray]:
     """l and the prefix of a set, in the corpus's order (level of the count, hash).
 
     The cost of l is the expected length of the lists its prefix meets, over l squared: pairs that share one shingle
@@ -79,7 +105,7 @@ def prefix(s: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tup
     base = n - _needed(n, percent)
     most = min(MOST, n - base)
     head = order[: base + most]
-    lists = np.cumsum(np.maximum(2.0 ** (c[head] / 8.0) - noise, 0.0))
+    lists = np.cumsum(np.where(c[head] > chance, 2.0 ** (c[head] / 8.0), 0.0))
     if lists[base] < 4:
         return 1, s[order[: base + 1]]
     size = np.arange(1, most + 1)
@@ -102,8 +128,13 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
-    """8 log2 of how often shingles of each counter occur over all documents, each once a document, as bytes."""
+def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> tuple[np.ndarray, int]:
+    """How far each counter's shingles stand out, as bytes: 8 log2 of what its count, over all documents, exceeds the usual one by.
+
+    The usual count is the median of all counters, so shingles that are frequent beside what else falls on their counter
+    stand out at any size of the corpus. Levels within three times the square root of the usual count may be chance; they
+    order shingles, but ``chance``, the greatest such level, comes with them.
+    """
 
     def count(batches):
         total = np.zeros(1 << BITS, np.int64)
@@ -124,97 +155,122 @@ def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> np.ndarray:
     merged = parts.coalesce(6).mapInArrow(lean(add), "counts binary").collect()  # at most 6 rows of some MB
     work.drop("counts")
     total = sum((_unpack(r[0]) for r in merged), np.zeros(1 << BITS, np.int64))
-    return np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+    usual = float(np.median(total))
+    level = lambda count: np.minimum(np.round(8 * np.log2(np.maximum(count, 1))), 255)
+    return level(total - usual).astype(np.uint8), int(level(3 * np.sqrt(usual)))
 
 
-SETS = "doc_id long, sig long, n long, l int, prefix binary"
+SETS = "doc_id long, sig long, n long, prefix binary, bits binary"
 
 
 def prefix_table(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
     """SETS for each document; ``shared`` is a broadcast of the levels."""
-    noise = 2.0 ** (float(np.median(shared.value)) / 8) + 1
 
     def run(batches):
-        counts = shared.value
+        levels = shared.value
         for batch in batches:
             for first, part, edges in chunks(*utf8(batch.column(1))):
-                rows = [(_signature(s), len(s), *((l, p.tobytes()) if len(s) else (0, b""))) for s in shingle_sets(part, edges, size) for l, p in [prefix(s, counts, noise, percent) if len(s) else (0, None)]]
-                sig, n, l, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(p, pa.binary())], ["doc_id", "sig", "n", "l", "prefix"])
+                rows = [(_signature(s), len(s), prefix(s, *levels, percent)[1].tobytes(), parity(s)) if len(s) else (_signature(s), 0, b"", b"") for s in shingle_sets(part, edges, size)]
+                sig, n, p, bits = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "sig", "n", "prefix", "bits"])
 
     return docs.mapInArrow(lean(run), SETS)
 
 
-_POSTING = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("place", "<i4")])
+#: The lower half of a shingle (two that agree in it and in their part share a list, which only adds candidates), its
+#: class, and the place in the prefix, at most 65,535: a smaller place only weakens the bounds.
+_POSTING = np.dtype([("token", "<u4"), ("sig", "<i8"), ("n", "<i4"), ("place", "<u2"), ("salt", "<u2")])
 
 
-def _packed(sets: DataFrame, parts: int) -> DataFrame:
-    """The prefixes' postings as (part, tokens, sigs, sizes) in byte strings; a class once for each task."""
+def _packed(sets: DataFrame, shared, parts: int, split: int) -> DataFrame:
+    """The prefixes' postings as (part, tokens, sigs, sizes, places, salts) in byte strings; a class once for each task.
+
+    A list of more than ``split`` members, by the levels, is dealt out to as many parts as hold it, by class: ``salt`` is
+    1 + how far a part is from the list's own; of other lists it is 0.
+    """
 
     def run(batches):
+        levels, _ = shared.value
         held: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
         seen: set[int] = set()
         total = 0
 
         def flush():
-            rows = np.concatenate(held)
-            part = (mix(rows["token"]) % np.uint64(parts)).astype(np.int64)
+            rows, full = np.concatenate(held), np.concatenate(tokens)
+            part = (mix(full) % np.uint64(parts)).astype(np.int64)
+            level = levels[_counter(full)]
+            long = np.flatnonzero(level > 8 * np.log2(split))
+            if len(long):
+                shares = np.minimum(np.ceil(2.0 ** (level[long] / 8.0) / split), min(parts, 65_000)).astype(np.uint64)
+                salt = mix(rows["sig"][long].view(np.uint64)) % shares
+                rows["salt"][long] = salt + np.uint64(1)
+                part[long] = (part[long] + salt.astype(np.int64)) % parts
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             at = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
             pieces = [rows[a:b] for a, b in zip(at, at[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([x[f].tobytes() for x in pieces], pa.binary()) for f in ("token", "sig", "n", "place"))], ["part", "tokens", "sigs", "sizes", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]].astype(np.int32)), *(pa.array([x[f].tobytes() for x in pieces], pa.binary()) for f in _POSTING.names)], ["part", "tokens", "sigs", "sizes", "places", "salts"])
 
         for batch in batches:
             for sig, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n and sig not in seen:
                     seen.add(sig)
-                    rows = np.empty(len(raw) // 8, _POSTING)
-                    rows["token"], rows["sig"], rows["n"], rows["place"] = np.frombuffer(raw, np.uint64), sig, n, np.arange(len(rows))
+                    full = np.frombuffer(raw, np.uint64)
+                    rows = np.zeros(len(full), _POSTING)
+                    rows["token"], rows["sig"], rows["n"], rows["place"] = full & np.uint64(0xFFFFFFFF), sig, n, np.minimum(np.arange(len(rows)), 65_535)
                     held.append(rows)
+                    tokens.append(full)
                     total += len(rows)
             if total > 750_000:
                 yield flush()
-                held, seen, total = [], set(), 0
+                held, tokens, seen, total = [], [], set(), 0
         if total:
             yield flush()
 
-    return sets.select("sig", "n", "prefix").mapInArrow(lean(run), "part long, tokens binary, sigs binary, sizes binary, places binary")
+    return sets.select("sig", "n", "prefix").mapInArrow(lean(run), "part int, tokens binary, sigs binary, sizes binary, places binary, salts binary")
 
 
-def _lists(batches):
-    """The partition's postings in order of (token, n, sig), each class once, without tokens of one class."""
-    parts = []
+_ROW = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("place", "<u2"), ("split", "?")])
+
+
+def _lists(batches, parts: int):
+    """The partition's postings in order of (token, n, sig), each class once, without tokens of one class that have no
+    other members elsewhere. A token's number is made of its list's own part and its lower half."""
+    held = []
     for batch in batches:
-        for raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            rows = np.empty(len(raw[0]) // 8, _POSTING)
-            for (name, (kind, _)), column in zip(_POSTING.fields.items(), raw, strict=True):
-                rows[name] = np.frombuffer(column, kind)
-            parts.append(rows)
-    if not parts:
-        return np.empty(0, _POSTING)
-    rows = np.concatenate(parts)
-    del parts
-    rows = rows[np.argsort(rows["token"], kind="stable")]
-    same = rows["token"][1:] == rows["token"][:-1]
-    rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        for part, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            column = {f: np.frombuffer(x, _POSTING[f]) for f, x in zip(_POSTING.names, raw, strict=True)}
+            rows = np.empty(len(column["token"]), _ROW)
+            home = (part - np.maximum(column["salt"].astype(np.int64) - 1, 0)) % parts
+            rows["token"] = (home << 32) | column["token"].astype(np.int64)
+            rows["sig"], rows["n"], rows["place"], rows["split"] = column["sig"], column["n"], column["place"], column["salt"] > 0
+            held.append(rows)
+    if not held:
+        return np.empty(0, _ROW)
+    rows = np.concatenate(held)
+    del held
+
+    def several(rows):
+        same = rows["token"][1:] == rows["token"][:-1]
+        return rows[np.concatenate([same, [False]]) | np.concatenate([[False], same]) | rows["split"]]
+
+    rows = several(rows[np.argsort(rows["token"], kind="stable")])
     rows = rows[np.lexsort((rows["sig"], rows["n"], rows["token"]))]
     again = (rows["token"][1:] == rows["token"][:-1]) & (rows["sig"][1:] == rows["sig"][:-1])
-    rows = rows[np.concatenate([[True], ~again])] if len(rows) else rows
-    same = rows["token"][1:] == rows["token"][:-1]
-    return rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(rows) else rows
+    return several(rows[np.concatenate([[True], ~again])]) if len(rows) else rows
 
 
-def _first_pairs(percent: int):
-    """From each list: pairs of a leader (the smallest set) with all, and of neighbours by size. Long lists go on as rows,
-    with a place for n_b.
+def _first_pairs(percent: int, parts: int):
+    """From each list: pairs of a leader (the smallest set) with all, and of neighbours by size. Long lists, and all that
+    are dealt out in parts, go on as rows, with a place for n_b.
 
     A pair passes where this shingle may be its first in common: then no more than what stands from here on is shared.
     Every similar pair passes in the list of its first common shingle.
     """
 
     def run(batches):
-        rows = _lists(batches)
+        rows = _lists(batches, parts)
         if not len(rows):
             return
         starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
@@ -231,10 +287,10 @@ def _first_pairs(percent: int):
             x, y = rows[a[i : i + 100_000]], rows[b[i : i + 100_000]]
             p = np.unique(np.stack([x["sig"], x["n"], y["sig"], y["n"]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), *(pa.array(p[:, k]) for k in range(4))], ["token", "sig_a", "n_a", "sig_b", "n_b"])
-        long = rows[sizes[which] > 3]
+        long = rows[(sizes[which] > 3) | rows["split"]]
         for i in range(0, len(long), 100_000):
             r = long[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(r["token"].view("<i8")), pa.array(r["sig"]), pa.array(r["n"].astype(np.int64)), pa.nulls(len(r), pa.int64()), pa.array(r["place"].astype(np.int64))], ["token", "sig_a", "n_a", "sig_b", "n_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(r["token"]), pa.array(r["sig"]), pa.array(r["n"].astype(np.int64)), pa.nulls(len(r), pa.int64()), pa.array(r["place"].astype(np.int64))], ["token", "sig_a", "n_a", "sig_b", "n_b"])
 
     return run
 
@@ -245,58 +301,49 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class _Join:
-    def __init__(self, spark: SparkSession, docs: DataFrame, work: Workspace, size: int, percent: int):
-        self.spark, self.docs, self.work, self.size, self.percent = spark, docs, work, size, percent
+    def __init__(self, spark: SparkSession, docs: DataFrame, work: Workspace, size: int, percent: int, split: int = SPLIT):
+        self.spark, self.docs, self.work, self.size, self.percent, self.split = spark, docs, work, size, percent, split
         self.levels = spark.sparkContext.broadcast(shingle_levels(docs, work, size))
         self.sets = work.write(prefix_table(docs, self.levels, size, percent), "sets")
         classes = self.sets.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
         self.classes = work.write(classes, "classes")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b): class representatives of the pairs that are similar; pairs that share too little of their prefixes go first."""
-        work, percent, size = self.work, self.percent, self.size
-        left = self.classes.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("doc_id").alias("a"))
-        right = self.classes.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("doc_id").alias("b"))
-        pairs = work.write(pairs.join(left, ["sig_a", "n_a"]).join(right, ["sig_b", "n_b"]).select("a", "sig_a", "n_a", "b", "sig_b", "n_b"), f"{name}-pairs")
-
-        def members(of: DataFrame, step: str) -> DataFrame:
-            return checked_broadcast(work.write(of.select(F.col("a").alias("doc_id")).unionByName(of.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-{step}-ids"))
-
-        heads = self.sets.join(members(pairs, "heads"), "doc_id", "left_semi").groupBy("doc_id", "sig", "n").agg(F.max(F.struct("l", "prefix")).alias("x")).select("doc_id", "sig", "n", "x.l", "x.prefix")
-        heads = work.write(heads, f"{name}-heads")
+        """(a, b): class representatives of the pairs of (sig_a, n_a, sig_b, n_b) that are similar."""
+        work, percent, size, levels = self.work, self.percent, self.size, self.levels
+        asked = pairs.select(F.col("sig_a").alias("sig"), F.col("n_a").alias("n")).unionByName(pairs.select(F.col("sig_b").alias("sig"), F.col("n_b").alias("n"))).distinct()
+        heads = self.sets.join(checked_broadcast(asked), ["sig", "n"], "left_semi").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits"))
+        heads = work.write(heads.where(F.col("doc_id").isNotNull()), f"{name}-heads")
 
-        levels = self.levels
-
-        def share(batches):
-            key = lambda x: (int(levels.value[_counter(x[-1:])][0]), int(x[-1]))
+        def bound(batches):
             for batch in batches:
-                a, b, la, pa_, na, lb, pb, nb = (c.to_pylist() for c in batch.columns)
-                keep = []
-                for i in range(len(a)):
-                    x, y = np.frombuffer(pa_[i], np.uint64), np.frombuffer(pb[i], np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    # the prefix that ends first in the corpus's order holds all its set shares up to there
-                    left = na[i] - len(x) if key(x) <= key(y) else nb[i] - len(y)
-                    if common >= min(la[i], lb[i]) and (100 + percent) * (common + left) >= percent * (na[i] + nb[i]):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-        # an id may have several texts: each pair is tested with the sets it was found by
-        head = lambda x: heads.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l{x}"), F.col("prefix").alias(f"p{x}"))
-        both = pairs.join(head("a"), ["a", "sig_a", "n_a"]).join(head("b"), ["b", "sig_b", "n_b"])
-        likely = work.write(both.select("a", "b", "la", "pa", "n_a", "lb", "pb", "n_b").mapInArrow(lean(share), "a long, b long").distinct(), f"{name}-likely")
+                a, b, n_a, bits_a, n_b, bits_b = (c.to_pylist() for c in batch.columns)
+                keep = pa.array([i for i in range(len(a)) if (100 + percent) * most_shared(bits_a[i], n_a[i], bits_b[i], n_b[i]) >= percent * (n_a[i] + n_b[i])], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+        head = lambda x: heads.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        both = pairs.join(head("a"), ["sig_a", "n_a"]).join(head("b"), ["sig_b", "n_b"]).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+        likely = work.write(both.mapInArrow(lean(bound), "a long, b long"), f"{name}-likely")
         work.drop(f"{name}-heads")
 
-        texts = self.docs.join(members(likely, "texts"), "doc_id", "left_semi")
+        members = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        texts = self.docs.join(checked_broadcast(members), "doc_id", "left_semi")
 
         def check(batches):
+            """Enough of both prefixes must be shared, as many as the smaller l, and then enough of both sets."""
             for batch in batches:
                 keep = []
                 for i in range(0, len(batch), 256):
                     sets = [[s for _, part, edges in chunks(*utf8(batch.column(k).slice(i, 256))) for s in shingle_sets(part, edges, size)] for k in (2, 3)]
-                    keep += [i + j for j, (x, y) in enumerate(zip(*sets, strict=True)) if _similar(x, y, percent)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
+                    for j, (x, y) in enumerate(zip(*sets, strict=True)):
+                        if len(x) and len(y):
+                            (l_x, head_x), (l_y, head_y) = prefix(x, *levels.value, percent), prefix(y, *levels.value, percent)
+                            if len(np.intersect1d(head_x, head_y, assume_unique=True)) >= min(l_x, l_y) and _similar(x, y, percent):
+                                keep.append(i + j)
+                keep = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+        # an id of several texts is one vertex: any two of its and the other's texts may link them
         found = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         return work.write(found.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long"), f"{name}-links")
 
@@ -305,44 +352,40 @@ class _Join:
         work, percent = self.work, self.percent
         postings = self.sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
         parts = max(32, partitions(self.spark, postings // 8, 1_000_000))
-        dealt = _packed(self.sets, parts).repartition(parts, "part")
-        raw = work.write(dealt.mapInArrow(lean(_first_pairs(percent)), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
-        first = raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct()
+        dealt = _packed(self.sets, self.levels, parts, self.split).repartitionById(parts, "part")
+        raw = work.write(dealt.mapInArrow(lean(_first_pairs(percent, parts)), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
+        first = work.write(raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct(), "first-pairs")
         links = self.verify(first, "first")
         labels = components(links, work, "first-components")
-        lists = raw.where(F.col("token").isNotNull()).select("token", F.col("sig_a").alias("sig"), F.col("n_a").alias("n"), F.col("n_b").alias("place"))
-        if lists.isEmpty():
-            return labels
+        lists = raw.where(F.col("token").isNotNull()).select("token", F.col("sig_a").alias("sig"), F.col("n_a").alias("n"), F.col("n_b").alias("place")).join(self.classes, ["sig", "n"])
         fits = lambda n, place, m, other: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * F.least(n - place, m - other) >= F.lit(percent) * (n + m))
-        for k, name in enumerate(("second", "third", "fourth", "last")):
-            draws = (1, 4, 12, 1)[k]
-            known = lists.join(self.classes, ["sig", "n"]).join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", "place", F.coalesce("label", "doc_id").alias("part"))
+        for draws in (*DRAWS, 0):
+            name = f"drawn-{draws}" if draws else "rest"
+            known = lists.join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", "place", F.coalesce("label", "doc_id").alias("part"))
             known = work.write(known, f"{name}-lists")
-            lead = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(100 * k + i)).alias("draw"), "sig", "n", "place", "part")) for i in range(draws)]
+            lead = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(100 * draws + i)).alias("draw"), "sig", "n", "place", "part")) for i in range(max(draws, 1))]
             open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.array(*lead).alias("leads")).where(F.col("low") != F.col("high")).select("token", "leads")
-            rest = known.join(open_lists, "token")
-            if name != "last":  # a few leaders for each list, drawn by hash: more each round, as ever fewer members stand apart
+            left = known.join(open_lists, "token")
+            if draws:  # drawn by hash
                 near = F.filter("leads", lambda x: (F.col("part") != x["part"]) & fits(F.col("n"), F.col("place"), x["n"], x["place"]))
-                pairs = rest.select("sig", "n", F.explode(F.array_distinct(F.transform(near, lambda x: F.struct(x["sig"].alias("sig"), x["n"].alias("n"))))).alias("x")).select(F.col("x.sig").alias("sig_a"), F.col("x.n").alias("n_a"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+                pairs = left.select("sig", "n", F.explode(F.array_distinct(F.transform(near, lambda x: F.struct(x["sig"].alias("sig"), x["n"].alias("n"))))).alias("x")).select(F.least(F.struct("sig", "n"), "x").alias("a"), F.greatest(F.struct("sig", "n"), "x").alias("b"))
+                pairs = pairs.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b"))
             else:
-                one = rest.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("part").alias("part_a"))
-                two = rest.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
+                one = left.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("part").alias("part_a"))
+                two = left.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
                 pairs = one.join(two, "token").where((F.col("part_a") < F.col("part_b")) & fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))).select("sig_a", "n_a", "sig_b", "n_b")
-            pairs = work.write(pairs.distinct(), f"{name}-found")
-            found = not pairs.isEmpty()
-            # leaders that fit nobody leave the other pairs of their lists to the next rounds
-            done = not found and (name == "last" or open_lists.isEmpty())
+            pairs = work.write(pairs.distinct(), f"{name}-pairs")
             work.drop(f"{name}-lists")
-            if done:
-                break
-            if not found:
-                continue
-            links = links.unionByName(self.verify(pairs, name))
-            labels = components(links, work, f"{name}-components")
+            if not pairs.isEmpty():  # leaders that fit nobody leave the other pairs of their lists to the rest
+                links = links.unionByName(self.verify(pairs, name))
+                labels = components(links, work, f"{name}-components", labels)
+            work.drop(f"{name}-pairs")
+        for name in ("lists", "first-pairs"):
+            work.drop(name)
         return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, class_id.
 
     Two documents link when 100 * |both| >= percent * |either|, over their sets of distinct shingles of ``size`` words
@@ -350,11 +393,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     Null and blank texts have no shingles and link with nothing. ``component_id`` is the smallest id reachable by links,
     ``class_id`` the smallest with the same set. Rows that repeat an id count as one vertex with several texts, and a
     row comes out for each; a null id links with nothing and has null for both. An empty table gives no rows; other
-    columns are not read.
+    columns are not read. Lists that look longer than ``split`` are dealt out in parts.
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "near")
     view = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    join = _Join(spark, view, work, size, percent)
+    join = _Join(spark, view, work, size, percent, split)
     labels = join.links()
     classes = join.classes.select("sig", "n", F.col("doc_id").alias("class_id")).join(labels, F.col("class_id") == F.col("v"), "left").select("sig", "n", "class_id", F.coalesce("label", "class_id").alias("component_id"))
     out = join.sets.select("doc_id", "sig", "n").join(classes, ["sig", "n"], "left")

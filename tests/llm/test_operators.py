@@ -346,19 +346,22 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
     assert {(r["doc_id"], r["component_id"]) for r in rows} == {(i, 1) for i in range(1, 6)}
 
 
-def test_leaders_that_fit_nobody_do_not_end_the_search(spark):
+def test_leaders_that_fit_nobody_do_not_end_the_search(spark, monkeypatch):
     """A list of sets of 40, 100, 100 and 101: the 2nd and 4th are similar, the first leader drawn is the 1st."""
+    monkeypatch.setattr(ngram_join, "DRAWS", (1,))
     token, work = 77, Workspace(spark, "planted")
-    hashed = spark.range(1, 400).select("id", F.xxhash64(F.lit(token).cast("long"), "id", F.lit(0)).alias("draw"))
-    low = hashed.orderBy("draw").first()["id"]
+    home = int(ngram_join.mix(np.array([token], np.uint64))[0] % np.uint64(32))
+    draw = F.xxhash64(F.lit((home << 32) | token).cast("long"), "id", F.lit(100)).alias("draw")
+    low = spark.range(1, 400).select("id", draw).orderBy("draw").first()["id"]
     drawn = [low, *(1000 + i for i in (1, 2, 3))]
-    others = spark.createDataFrame([(x,) for x in drawn], "id long").select("id", F.xxhash64(F.lit(token).cast("long"), "id", F.lit(0)).alias("draw"))
+    others = spark.createDataFrame([(x,) for x in drawn], "id long").select("id", draw)
     assert others.orderBy("draw").first()["id"] == low
     late = np.append(np.arange(1, 26), token).astype(np.uint64).tobytes()
     first = np.array([token], np.uint64).tobytes()
-    rows = [(k, sig, n, 1, p) for k, (sig, n, p) in enumerate(zip(drawn, (40, 100, 100, 101), (first, first, late, first), strict=True))]
+    rows = [(k, sig, n, p, b"") for k, (sig, n, p) in enumerate(zip(drawn, (40, 100, 100, 101), (first, first, late, first), strict=True))]
     join = object.__new__(ngram_join._Join)
-    join.spark, join.work, join.percent = spark, work, 75
+    join.spark, join.work, join.percent, join.split = spark, work, 75, ngram_join.SPLIT
+    join.levels = spark.sparkContext.broadcast((np.zeros(1 << ngram_join.BITS, np.uint8), 0))
     join.sets = spark.createDataFrame(rows, ngram_join.SETS)
     join.classes = join.sets.select("sig", "n", "doc_id")
     place = lambda side: join.classes.select(F.col("sig").alias(f"sig_{side}"), F.col("doc_id").alias(side))
@@ -366,6 +369,56 @@ def test_leaders_that_fit_nobody_do_not_end_the_search(spark):
     assert {tuple(r) for r in join.links().collect()} == {(1, 1), (3, 1)}
 
 
+def test_lists_dealt_out_in_parts(spark):
+    """Sixty texts of five shared words at most three apart: their lists of more than four members go to several parts."""
+    rng = np.random.default_rng(16)
+    words = [f"v{i}" for i in range(80)]
+    base = list(rng.choice(words, 40))
+    texts = []
+    for i in range(60):
+        t = base.copy()
+        for k in rng.integers(0, len(t), i % 4):
+            t[k] = rng.choice(words)
+        texts.append(" ".join(t))
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts), split=4).collect()}
+    assert rows == plain_components(dict(enumerate(texts)))
+
+
+def test_parity_bitmaps_bound_what_is_shared():
+    rng = np.random.default_rng(17)
+    for n, m, both in ((1, 1, 1), (5, 900, 4), (300, 400, 250), (3000, 3000, 1500), (64, 64, 0)):
+        s = np.unique(rng.integers(0, 2**63, n + m + both, dtype=np.uint64))
+        rng.shuffle(s)
+        a, b = s[:n], np.concatenate([s[: min(both, n)], s[n : n + m]])
+        shared = len(np.intersect1d(a, b))
+        assert shared <= ngram_join.most_shared(ngram_join.parity(a), len(a), ngram_join.parity(b), len(b)) <= min(len(a), len(b)) + abs(len(a) - len(b))
+
+
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(18)
+    order = rng.permutation(400).tolist()  # chains end after each multiple of 100
+    edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:], strict=False) if a % 100] + [(7, 7)], "a long, b long")
+    want, label = {}, {}
+    for part in [[*g] for g in _runs(order)]:
+        for v in part:
+            label[v] = min(part)
+    want = {v: x for v, x in label.items() if any(v in (a, b) for a, b in edges.collect())}
+    work = Workspace(spark, "chains")
+    first = ngram_join.components(edges.where("a < 200"), work, "one")
+    assert {tuple(r) for r in ngram_join.components(edges, work, "two", first).collect()} == set(want.items())
+
+
+def _runs(order):
+    run = []
+    for a in order:
+        run.append(a)
+        if a % 100 == 0:
+            yield run
+            run = []
+    if run:
+        yield run
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(7)
     make = {"aa": ["kala", "moto", "lapa", "tuli"], "bb": ["strecht", "grompf", "schnell", "pfiff"]}
