@@ -65,7 +65,7 @@ def _borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes columns of text. It keeps the ids of up to ``keep`` pieces of at most ``longest`` bytes."""
 
-    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 150_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
