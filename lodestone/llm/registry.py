@@ -113,9 +113,11 @@ FROM s GROUP BY ALL
 """
 
 LINES_SQL = r"""
-WITH u AS (
-  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS k
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), c2 AS (SELECT doc_id, flatten(list_transform(x, lambda p: CASE WHEN strlen(p) > 120 THEN string_split(regexp_replace(p, '([,;:] )', '\1' || chr(1), 'g'), chr(1)) ELSE [p] END)) AS x FROM c
+), c3 AS (SELECT doc_id, flatten(list_transform(x, lambda p: CASE WHEN strlen(p) > 120 THEN string_split(regexp_replace(p, '(e )', '\1' || chr(1), 'g'), chr(1)) ELSE [p] END)) AS x FROM c2
+), u AS (
+  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS k FROM c3
 ), b AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM u
 ), n AS (SELECT doc_id, k, bare, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM b WHERE bare <> ''
 ), w AS (

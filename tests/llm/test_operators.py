@@ -172,7 +172,10 @@ def test_suppression():
 
 def plain_dedup(texts, min_words):
     """Line dedup by definition, over (id, text) in order of id."""
-    cut = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in texts.items()}
+    def finer(pieces, pattern):
+        return [y for x in pieces for y in (re.split(pattern, x) if len(x.encode()) > 120 else [x])]
+
+    cut = {i: finer(finer(re.split(r"(?<=\n)|(?<=[.!?] )", t), r"(?<=[,;:] )"), r"(?<=e )") for i, t in texts.items()}
     solid = {i: [k for k, x in enumerate(p) if x.strip(" \t\r\n")] for i, p in cut.items()}
     seen, out = {}, {}
     for i in sorted(cut):
@@ -211,6 +214,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_odd_texts(spark):
+    """Tabs, carriage returns, the mark that cuts, repeated ids, and long lines with and without commas."""
+    rng = np.random.default_rng(23)
+    words = lambda n, sep: sep.join(" ".join(rng.choice(["Ären", "cone", "ef", "gin", "x\x01y", "tab\there"], rng.integers(2, 7))) for _ in range(n))
+    shared = [words(14, ", "), words(30, " "), words(9, ". "), words(8, "!\r\n\t"), words(12, "; ")]
+    texts = [rng.choice(["", "\r\n", "a b "]) + words(2, ". ") + rng.choice([" ", ". ", "\n"]) + shared[k % 5] + rng.choice([" ", "! ", "\n \t\n"]) + words(3, ", ") for k in range(50)]
+    rows = line_dedup.dedup_lines(docs(spark, texts), 12, drop_emptied=False).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == plain_dedup(dict(enumerate(texts)), 12)
+    twice = line_dedup.dedup_lines(docs(spark, [texts[0], texts[5], texts[5]], [1, 2, 2]), 12, drop_emptied=False).collect()
+    assert {(r["doc_id"], r["text"]) for r in twice} == set(plain_dedup({1: texts[0], 2: texts[5]}, 12).items())
+
+
+@pytest.mark.parametrize("sentences", [1, 2, 4])
+def test_passage_of_sixty_words_inside_a_line(spark, sentences):
+    rng = np.random.default_rng(24)
+    words = lambda n: " ".join("".join(rng.choice(list("abdeegilmnoorste"), rng.integers(2, 8))) for _ in range(n))
+    passage = ". ".join(words(60 // sentences) for _ in range(sentences))
+    texts = [words(9) + " " + passage + " " + words(11) for _ in range(3)] + [words(200)]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), drop_emptied=False).collect()}
+    assert rows[0] == texts[0] and rows[3] == texts[3]
+    gone = [len(texts[i].split()) - len(rows[i].split()) for i in (1, 2)]
+    assert min(gone) >= 30, gone  # all but the pieces at its ends
+    assert all(rows[i][:20] == texts[i][:20] for i in (1, 2))
+
+
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    texts = [f"Only {i}. One two three. Four five six. Seven eight nine. Last {i}." for i in range(20)]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), 5).collect()}
+    assert rows == plain_dedup(dict(enumerate(texts)), 5)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(docs(spark, ["a. b. c. d."]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
