@@ -89,8 +89,9 @@ def _split_join(rows: DataFrame, counted: DataFrame, key: str, work: Workspace)
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``runs``: the repeated runs of a document as (first, last), numbers of its lines that aren't blank, from 0."""
     work = Workspace(docs.sparkSession, "lines")
-    hashed = _hashes(docs, id_col, text_col).where(F.size("h") >= RUN)
-    hashed = hashed.select("doc_id", "h", F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))).alias("p"))
+    # no filter stands on the arrays: it would be moved below them and work them out a second time
+    hashed = _hashes(docs, id_col, text_col)
+    hashed = hashed.select("doc_id", "h", F.transform(F.when(F.size("h") >= RUN, F.sequence(F.lit(0), F.size("h") - 2)), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))).alias("p"))
 
     def mark(pair: Column, i: Column) -> Column:
         """A pair that is the smaller one of a run of three lines, of equal ones the left, with the runs that have it so; else null."""
@@ -98,7 +99,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left, right = F.coalesce(pair < F.get("p", i - 1), F.lit(False)), F.coalesce(pair <= F.get("p", i + 1), F.lit(False))
         return F.when(left | right, F.struct(pair.alias("pair"), i.alias("at"), run(left, i - 1).alias("run_left"), run(right, i).alias("run_right")))
 
-    marks = hashed.select("doc_id", F.explode(F.filter(F.transform("p", mark), lambda x: x.isNotNull())).alias("x")).select("x.pair", "doc_id", "x.at", "x.run_left", "x.run_right")
+    marks = hashed.select("doc_id", F.explode_outer(F.filter(F.transform("p", mark), lambda x: x.isNotNull())).alias("x")).where(F.col("x").isNotNull()).select("x.pair", "doc_id", "x.at", "x.run_left", "x.run_right")
     marks = work.write(marks, "marks")
     again = marks.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     joined = _split_join(marks, work.write(again, "again"), "pair", work)
