@@ -19,15 +19,24 @@ BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 19
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default, 10,000: so many texts take tens of MB off the heap of
+#: an executor and in each of its Python workers.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """Tables written to a folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder takes its place. A written table cuts lineage and survives the loss of executors.
+    The folder is the session's ``spark.checkpoint.dir``, or what SparkContext.setCheckpointDir was given; only where both
+    are unset and the master is local (tests on one machine) a temporary folder takes its place, elsewhere it is an
+    error. A written table cuts lineage and survives the loss of executors.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+        if spark.conf.get(_BATCH) == "10000":
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
         self.spark = spark
         self.root = f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
@@ -50,7 +59,13 @@ class Workspace:
 _OWN: list[str] = []
 
 
-def _own_folder() -> str:
+def _own_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder, else, under a local master, a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _OWN[0]

@@ -137,7 +137,7 @@ def shingle_levels(docs: DataFrame, work: Workspace, size: int) -> tuple[np.ndar
     """
 
     def count(batches):
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for _, part, edges in chunks(*utf8(batch.column(0))):
                 at, often = np.unique(_counter(np.concatenate(shingle_sets(part, edges, size))), return_counts=True)
