@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def precision_recall(results: DataFrame, relevant: DataFrame, key: str, item: str) -> DataFrame:
@@ -16,6 +17,8 @@ def precision_recall(results: DataFrame, relevant: DataFrame, key: str, item: st
 
 
 def p95(df: DataFrame, by: str, value: str) -> DataFrame:
-    """The value at place floor(0.95 * n) of each group, in order, from 0."""
-    ordered = df.groupBy(by).agg(F.count("*").alias("n"), F.percentile(F.col(value), F.lit(0.5)).alias("_m"), F.sort_array(F.collect_list(value)).alias("_v"))
-    return ordered.select(by, "n", F.element_at("_v", F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1).cast("int")).alias("p95"))
+    """by, n, p95: the value at place floor(0.95 * (n - 1)) of each group's values in order, from 0; nulls don't count."""
+    known = df.where(F.col(value).isNotNull())
+    w = Window.partitionBy(by)
+    placed = known.select(by, F.col(value).alias("p95"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("n"))
+    return placed.where(F.col("_i") == F.floor(F.lit(0.95) * (F.col("n") - 1))).select(by, "n", "p95")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 def scoped(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among the allowed."""
-    return df.join(allowed.select(key).distinct(), key, "left_semi")
+    return df.join(allowed.select(key), key, "left_semi")
 
 
 def new_rows(arrivals: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def bm25(docs: DataFrame, query: Sequence[str], fields: Mapping[str, float] | No
     joined = counted(docs.where(holds)).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
         tf = F.col(f"w{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     # every idf is positive; the condition names both sides and takes nulls, so no part of it is pushed below to split the texts again

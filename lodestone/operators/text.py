@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 
 
 def clean(text: Column) -> Column:
-    """Joins words broken at a line's end, makes runs of spaces one and of blank lines two, trims."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"([a-z])-\n([a-z])", "$1$2")
+    """Drops soft hyphens, joins words broken and sentences wrapped at a line's end, makes runs of spaces one and of blank
+    lines two, trims. A line that ends in a full stop, exclamation or question mark or colon isn't joined to the next."""
+    text = F.replace(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\u00ad"), F.lit(""))
+    text = F.regexp_replace(text, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
+    text = F.regexp_replace(text, r"([^.!?:\n])\n(?!\n)", "$1 ")
     return F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
@@ -106,9 +107,8 @@ def near_hashes(hashes: DataFrame, distance: int, id_col: str = "doc_id", hash_c
 
 
 def evenly_spaced(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """n rows of each group at even distances in an order."""
+    """n rows of each group at even distances in an order: places floor(j * rows / n) for j from 0; all, if fewer."""
     w = Window.partitionBy(by)
     placed = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    step = F.floor(F.col("_i") * n / F.col("_n"))
-    before = F.floor((F.col("_i") - 1) * n / F.col("_n"))
-    return placed.where((F.col("_i") == 0) | (step != before)).drop("_i", "_n")
+    # the first j whose place isn't before this row must have this place
+    return placed.where(F.expr(f"((_i * {n} + _n - 1) div _n) * _n div {n} = _i AND (_i * {n} + _n - 1) div _n < {n}")).drop("_i", "_n")

@@ -10,6 +10,7 @@ from lodestone.operators import relational as R
 from lodestone.operators import search as S
 from lodestone.operators import tables as T
 from lodestone.operators import text as X
+from lodestone.operators.evaluate import p95
 from lodestone.sources import files
 
 
@@ -57,6 +58,37 @@ def test_table_questions(spark, question, filters, value):
     assert T.execute(df, plan, "Invoice").first()["value"] == value
 
 
+@pytest.mark.parametrize(
+    ("question", "value"),
+    [("total amount for Acme", 295000), ("What is the total amount for Acme in March?", 235000), ("amount of I-3 in total", 75000), ("total amount from Gamma", None), ("highest total", 135000), ("how many with qty more than 4 and amount less than 80,000", 2), ("total amount at least 1.35 lakh", 135000), ("total amount that may be due", 410000), ("total amount in May", 40000), ("how many rows over 50,000", 4), ("how many in March have qty between 10 and 5", 2), ("who wrote this", None)],
+)
+def test_questions_read_as_a_whole(spark, question, value):
+    found = T.ask_table(register(spark), question, "Invoice")
+    assert (found and found.first()["value"]) == value
+
+
+def test_plans_of_questions():
+    plan = lambda q, numeric=("Qty", "Amount"): T.plan_question(q, ["Vendor", "Month", *numeric], list(numeric))
+    assert [plan(q).operation for q in ("average total amount", "highest total amount", "maximum amount sum", "how much amount was the mean of it", "the difference in total amount")] == ["avg", "max", "max", "avg", "diff"]
+    assert plan("average unit price", ("Unit", "Price")) is None and plan("highest", ("Qty", "Amount")) is None
+    years = [plan(f"total amount in FY{y}").filters[0].value for y in ("97", "1997", "26", "2026", "69", "70")]
+    assert years == [1997, 1997, 2026, 2026, 2069, 1970]
+    assert T.plan_question("total amount in 2020", ["Amount"], ["Amount"]) is None
+
+
+def test_spacing_and_percentiles(spark):
+    rows = spark.createDataFrame([(g, i) for g, n in (("a", 7), ("b", 1), ("c", 20)) for i in range(n)], "g string, i long")
+    for n in (2, 3, 5):
+        got = {(r["g"], r["i"]) for r in X.evenly_spaced(rows, "g", "i", n).collect()}
+        assert got == {(g, j * size // n) for g, size in (("a", 7), ("b", 1), ("c", 20)) for j in range(n)}
+    assert {tuple(r) for r in p95(rows, "g", "i").collect()} == {("a", 7, 5), ("b", 1, 0), ("c", 20, 18)}
+
+
+def test_clean(spark):
+    text = "A soft\u00adhyphen and a bro-\nken word\nwrapped here.\nNext:\nlist  item\r\n\r\n\r\n\r\nend"
+    assert one(spark, X.clean(F.col("x")), x=text) == "A softhyphen and a broken word wrapped here.\nNext:\nlist item\n\nend"
+
+
 def test_question_without_operation(spark):
     assert T.plan_question("who wrote this", ["Amount"], ["Amount"]) is None
 
@@ -108,7 +140,7 @@ def test_relational(spark):
 
 
 def test_bm25_plan_stays_in_the_jvm(spark):
-    df = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "cat")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "cat"), (4, "cow"), (5, "owl")], "doc_id long, text string")
     found = S.bm25(df, ["red"])
     assert [r["doc_id"] for r in found.collect()] == [2, 1]
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
