@@ -17,28 +17,46 @@ from lodestone.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't rejected."""
+    """Documents whose language isn't rejected.
+
+    Null texts and texts without letters are rejected. Repeated rows are judged alike; an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of lines; those of which nothing is left go."""
+    """Documents without later repeats of runs of lines; those of which nothing is left go. ``n_chars`` counts what is left.
+
+    Null texts and rows of null ids stay as they are; rows that repeat an id share the places of their runs; an empty
+    table stays empty; other columns pass through, whatever their names.
+    """
     out = dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates.
+
+    Null and blank texts have no duplicates and null ids stay; rows that repeat an id stay or go together; an empty table
+    stays empty.
+    """
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Null texts and null ids stay; rows that repeat an id go together; an empty table or benchmark takes nothing away.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 ids."""
+    """The pieces of the documents in sequences of 2048 ids: a row for each piece.
+
+    Null and empty texts are an end id each; rows that repeat an id are packed each for itself; an empty table has no
+    pieces; other columns are left out.
+    """
     return pack(docs)
 
 
