@@ -56,3 +56,58 @@ def neighbours(edges: DataFrame, start: Sequence[str], hops: int = 2, per_node:
         front = step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen
+
+
+def replaced(stored: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows with all of the keys that ``rows`` brings taken out, and ``rows`` put in; null keys are equal."""
+    return without(stored, rows, keys).unionByName(rows.select(*stored.columns))
+
+
+def without(stored: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows whose keys aren't among those gone; null keys are equal."""
+    keyed = gone.select(*keys).distinct().alias("g")
+    return stored.alias("s").join(keyed, [F.col(f"s.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], "left_anti")
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Every table that belongs to a parent, without the rows of the parents that go."""
+    return {name: without(df, gone, [key]) for name, df in tables.items()}
+
+
+def repaired(parents: DataFrame, children: DataFrame, key: str, counter: str) -> DataFrame:
+    """The parents, all columns, with their counter set to their children's number."""
+    actual = children.groupBy(key).agg(F.count("*").alias("_actual"))
+    return parents.join(actual, key, "left").withColumn(counter, F.coalesce("_actual", F.lit(0)).cast(parents.schema[counter].dataType)).drop("_actual").select(*parents.columns)
+
+
+def still_used(docs: DataFrame, gone: DataFrame, path: str, key: str) -> DataFrame:
+    """The paths of documents that go which other documents still name."""
+    going = docs.join(gone.select(key), key, "left_semi").select(path).distinct()
+    return going.join(without(docs, gone, [key]), path, "left_semi")
+
+
+def ready_totals(docs: DataFrame, chunks: DataFrame, key: str, pages: str, ready: Column) -> DataFrame:
+    """One row: documents that are ready, their pages, and the chunks of all documents in scope."""
+    counted = docs.agg(F.count_if(ready).alias("documents"), F.coalesce(F.sum(F.when(ready, F.col(pages))), F.lit(0)).cast("long").alias("pages"))
+    return counted.crossJoin(scoped(chunks, docs, key).agg(F.count("*").alias("chunks")))  # one row each
+
+
+def graph_totals(mentions: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """One row: distinct nodes mentioned, edges, mentions."""
+    return mentions.agg(F.countDistinct(node).alias("nodes"), F.count("*").alias("mentions")).crossJoin(edges.agg(F.count("*").alias("edges")))
+
+
+def find_nodes(nodes: DataFrame, text: str, k: int = 10) -> DataFrame:
+    """The k most mentioned nodes whose norm or name holds the text, whatever its case; ties by name, then norm."""
+    holds = F.lower("norm").contains(text.lower()) | F.lower("name").contains(text.lower())
+    return nodes.where(holds).orderBy(F.desc("mentions"), "name", "norm").limit(k)
+
+
+def ranked_in_scope(ranked: DataFrame, allowed: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best of a ranked list (key, score) that are in scope, in its order; ties to the smaller key."""
+    return scoped(ranked, allowed, key).orderBy(F.desc("score"), key).limit(k)
+
+
+def mention_documents(mentions: DataFrame) -> DataFrame:
+    """(doc_id, doc_name, pages): each document mentioned, with its sorted distinct pages."""
+    return mentions.groupBy("doc_id").agg(F.min("doc_name").alias("doc_name"), F.sort_array(F.collect_set("page")).alias("pages"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.numbers import fiscal_quarter, fiscal_year, indian_grouping, month_of, parse_number, year_of
 from lodestone.operators import answers as A
 from lodestone.operators import entities as E
+from lodestone.operators import hybrid as H
 from lodestone.operators import relational as R
 from lodestone.operators import search as S
 from lodestone.operators import tables as T
@@ -387,3 +388,111 @@ def citation_attach(spark, d):
     answer = F.concat(F.lit("The order goes to priority "), F.col("o_orderpriority"), F.lit(". Never pay USD 987654321 again for anything."))
     rows = table(spark, d, "orders").select("o_orderkey", A.attach_citations(answer, F.array(F.concat(F.lit("Order of priority "), F.col("o_orderpriority"), F.lit(" goes out")), F.lit("something else"))).alias("a"))
     return rows.select("o_orderkey", F.col("a.text").alias("text"))
+
+
+HYBRID_SQL = f"""
+WITH v AS (SELECT vec_id AS doc_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cos FROM embeddings),
+lists AS (
+  SELECT 'vector' AS list, doc_id, round(cos, 6) AS score, 1.0::DOUBLE AS weight FROM v QUALIFY row_number() OVER (ORDER BY round(cos, 6) DESC, doc_id) <= 20
+  UNION ALL SELECT 'keyword', doc_id, score, 1.2::DOUBLE FROM ({_bm25_sql({"text": 1.0})})
+  UNION ALL (SELECT 'exact', doc_id, 1.0, 2.0::DOUBLE FROM documents WHERE contains(text, 'thonea') ORDER BY doc_id LIMIT 10)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, doc_id) AS r FROM lists),
+fused AS (SELECT doc_id, round(sum(weight / (60 + r)), 5) AS rrf, min(r - 1) FILTER (list = 'keyword') AS keyword_rank, bool_or(list = 'exact') AS exact FROM ranked GROUP BY doc_id),
+best AS (SELECT f.* FROM fused f ORDER BY rrf DESC, doc_id LIMIT 30)
+SELECT b.doc_id, rrf, coalesce(keyword_rank, -1) AS keyword_rank, exact, round(coalesce(cos, 0), 4) AS vector_score FROM best b JOIN documents d ON d.doc_id = b.doc_id LEFT JOIN v ON v.doc_id = b.doc_id
+"""
+
+
+@query(HYBRID_SQL)
+def hybrid_search(spark, d):
+    """Three lists fused over documents, whose vectors are those of the same number; cosines filled in for hits by words."""
+    docs, q = table(spark, d, "documents", spread=True), _vector(spark, d)
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    exact = docs.where(F.col("text").contains("thonea")).select("doc_id", F.lit(1.0).alias("score")).orderBy("doc_id").limit(10)
+    lists = {"vector": (S.dense(vectors, q, id_col="doc_id"), 1.0), "keyword": (S.bm25(docs, BM25_TERMS), 1.2), "exact": (exact, 2.0)}
+    hits = H.hybrid(docs, vectors, q, lists)
+    return hits.select("doc_id", "rrf", F.coalesce("keyword_rank", F.lit(-1)).cast("long").alias("keyword_rank"), "exact", "vector_score")
+
+
+@query("""
+WITH h AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS k, o_custkey % 5 AS m, (o_orderkey % 100) / 100.0::DOUBLE AS vec, (o_custkey % 90) / 3000.0::DOUBLE AS rrf FROM orders)
+SELECT doc_id, round(1.6 * vec + 1.2 * rrf + CASE WHEN k = 1 THEN 1.0 ELSE 0 END + CASE WHEN k = 2 THEN 0.35 ELSE 0 END
+  + CASE WHEN k < 4 THEN 0.5 - 0.02 * least(k * 10, 25) ELSE 0 END
+  - CASE m WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0 END
+  + CASE WHEN m = 3 THEN 0.8 ELSE 0 END + 0.25 + CASE m WHEN 0 THEN 0.1 WHEN 3 THEN 0.15 ELSE 0.1 END
+  + CASE WHEN m = 0 THEN 0.55 ELSE -0.35 END + CASE WHEN k = 5 THEN 0.3 ELSE 0 END + CASE WHEN k = 6 THEN 0.3 ELSE 0 END, 4) AS rerank_score
+FROM h ORDER BY rerank_score DESC, rrf DESC, doc_id LIMIT 200
+""")
+def hybrid_rerank(spark, d):
+    """Hits of known features: codes, keyword ranks, passages about tests or full of questions, values, tables and headings."""
+    k, m = F.col("o_orderkey") % 7, F.col("o_custkey") % 5
+    more = F.array(*map(F.lit, ("of 30 days", "; expected behavior: should return", "? ? ? ? ?", "of AB-12", "of none")))
+    hits = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.concat(F.lit("The warranty period "), F.get(more, m.cast("int"))).alias("text"),
+        F.when(k == 6, "1. Warranty").otherwise("2. Scope").alias("heading"),
+        F.when(k == 5, "table").otherwise("text").alias("content_type"),
+        ((F.col("o_orderkey") % 100) / 100.0).alias("vector_score"),
+        ((F.col("o_custkey") % 90) / 3000.0).alias("rrf"),
+        F.when(k < 4, F.least(k * 10, F.lit(25))).alias("keyword_rank"),
+        (k == 1).alias("exact"),
+        (k == 2).alias("graph"),
+    )
+    asked = H.Question("Which warranty period has AB-12?", ["AB-12"], ["warranty"], r"\d+ days", numeric=True)
+    return H.rerank(hits, asked, 200).select("doc_id", "rerank_score")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 9 = 0 THEN 'replaced' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def replace_rows(spark, d):
+    stored = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rows = stored.where("o_custkey % 9 = 0").withColumn("o_orderpriority", F.lit("replaced"))
+    return R.replaced(stored, rows, ["o_custkey"]).drop("o_custkey")
+
+
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey % 3 <> 0")
+def cascade_delete(spark, d):
+    tables = {"orders": table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "lineitem": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"))}
+    left = R.delete_cascade(tables, tables["orders"].where("doc_id % 3 = 0"), "doc_id")
+    return left["orders"].agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n").unionByName(left["lineitem"].agg(F.count("*").alias("n")).select(F.lit("lineitem").alias("name"), "n"))
+
+
+@query("SELECT o_custkey, count(*) AS counter FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def repair_counts(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey")
+    parents = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")).unionByName(orders).distinct().withColumn("counter", F.lit(-1).cast("long"))
+    return R.repaired(parents, orders, "o_custkey", "counter")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+def paths_in_use(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return R.still_used(orders, orders.where("o_orderkey % 2 = 0"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS documents, (SELECT sum(o_custkey)::BIGINT FROM orders WHERE o_orderstatus = 'F') AS pages, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS chunks")
+def ready_totals(spark, d):
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_custkey")
+    return R.ready_totals(docs, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "o_custkey", F.col("o_orderstatus") == "F")
+
+
+@query("SELECT count(DISTINCT l_partkey) AS nodes, count(*) AS mentions, (SELECT count(*) FROM orders) AS edges FROM lineitem")
+def graph_totals(spark, d):
+    return R.graph_totals(table(spark, d, "lineitem").select(F.col("l_partkey").alias("node")), table(spark, d, "orders").select("o_orderkey"))
+
+
+@query("SELECT lower(p_name) AS norm, p_name AS name, sum(p_size)::BIGINT AS mentions FROM part WHERE contains(lower(p_name), 'ring') GROUP BY p_name ORDER BY mentions DESC, name, norm LIMIT 10")
+def node_search(spark, d):
+    nodes = table(spark, d, "part").groupBy("p_name").agg(F.sum("p_size").alias("mentions")).select(F.lower("p_name").alias("norm"), F.col("p_name").alias("name"), "mentions")
+    return R.find_nodes(nodes, "Ring")
+
+
+@query("SELECT o_orderkey, o_totalprice AS score FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY score DESC, o_orderkey LIMIT 20")
+def ranked_in_scope(spark, d):
+    allowed = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.ranked_in_scope(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), allowed, "o_orderkey", 20)
+
+
+@query("SELECT l_orderkey AS doc_id, 'order ' || l_orderkey AS doc_name, array_to_string(list_sort(list_distinct(list(l_linenumber % 3))), ',') AS pages FROM lineitem GROUP BY l_orderkey")
+def mention_documents(spark, d):
+    mentions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("order "), "l_orderkey").alias("doc_name"), (F.col("l_linenumber") % 3).alias("page"))
+    return R.mention_documents(mentions).withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
