@@ -5,6 +5,7 @@ bounds every inner product of a query with its members: q.p - |q| r <= q.x <= q.
 best of the lower bounds is a floor; only cells whose upper bound reaches it can hold a result. Queries are grouped
 by pivots of their own into blocks of a bounded number, cells are cut into slices of a bounded number, and a slice is
 sent just to the blocks of queries that need its cell. Each block and slice is solved locally with one matrix product.
+Which block needs which slice is a table, joined to either side; only what is kept of each pivot reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,26 +14,32 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import Workspace, partitions
+from lodestone.llm.common import Workspace, checked_broadcast, partitions
 
 RESULT = "query_id long, vec_id long, score long"
+#: The most pivots, and so cells, at any size.
+PIVOTS = 1024
+#: Rows (block, cell, slice) that may be broadcast; beyond, they are shuffled.
+NEEDS = 100_000
 
 
-def integers(column: pa.Array, scale: float) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector; None where it or a component is null or not finite, or beyond 64 bits."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        v = v.as_py()
-        if v is None or any(x is None for x in v):
-            out.append(None)
-            continue
-        x = np.floor(scale * np.asarray(v, float))
-        out.append(x.astype(np.int64) if np.isfinite(x).all() and (np.abs(x) < 2.0**62).all() else None)
-    return out
+def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(scale * x) of all components, the vectors' offsets into them, and which vectors take part.
+
+    A vector takes no part where it or a component is null or not finite, or where a product needs over 63 bits.
+    """
+    edges = column.offsets.to_numpy().astype(np.int64)
+    x = np.floor(scale * pc.fill_null(column.values, np.nan).to_numpy(zero_copy_only=False)[edges[0] : edges[-1]])
+    edges -= edges[0]
+    fits = np.isfinite(x) & (x >= -(2.0**63)) & (x < 2.0**63)
+    bad = np.concatenate([[0], np.cumsum(~fits)])
+    valid = column.is_valid().to_numpy(zero_copy_only=False) & (bad[edges[1:]] == bad[edges[:-1]])
+    return np.where(fits, x, 0).astype(np.int64), edges, valid
 
 
 def _matrix(raw: list[bytes], width: int) -> np.ndarray:
@@ -59,30 +66,34 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, dist
 
 
-def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, scale: float = 1024.0, pivots: int = 64, block: int = 1024, piece: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, scale: float = 1024.0, pivots: int | None = None, block: int = 1024, piece: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products, ties to the smaller vec_id.
 
     Without ``queries`` (same columns), the rows whose id is divisible by 100 are asked. Each component x counts as
     floor(scale * x). Rows whose id or vector is null, or with null or non-finite components, take no part. A row is
     no candidate of a query of its own id; rows that repeat an id are candidates each, and queries once each distinct
-    vector, so such an id's ranks hold for the rows together. Shorter vectors count as padded with zeros. With fewer than k candidates all are
-    returned; an empty table gives no rows. Other columns are not read.
+    vector, so such an id's ranks hold for the rows together. Shorter vectors count as padded with zeros. Nor do vectors
+    take part of which a component's integer needs over 63 bits. With fewer than k candidates all are returned; an empty
+    table gives no rows. Other columns are not read. Without ``pivots`` a quarter of the root of the rows are drawn, 64 at
+    least and PIVOTS at most; how many there are changes the work, not the result.
     """
     spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "topk")
     queries = vectors.where(F.col(id_col) % 100 == 0) if queries is None else queries
 
     def encode(batches):
         for batch in batches:
-            ids, rows = batch.column(0), integers(batch.column(1), scale)
-            keep = [i for i, v in enumerate(rows) if v is not None and ids[i].is_valid]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["vec_id", "v"])
+            ids, (values, edges, valid) = batch.column(0), integers(batch.column(1), scale)
+            keep = np.flatnonzero(valid & ids.is_valid().to_numpy(zero_copy_only=False))
+            raw = [values[a:b].tobytes() for a, b in zip(edges[keep].tolist(), edges[keep + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(raw, pa.binary())], ["vec_id", "v"])
 
     view = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(encode, "vec_id long, v binary")
     data = work.write(view(vectors), "data")
     asked = work.write(view(queries).distinct(), "asked")
     result = "query_id long, rank int, vec_id long, score long"
-    width = max((r[0] or 0 for r in [data.agg(F.max(F.length("v"))).first(), asked.agg(F.max(F.length("v"))).first()]), default=0) // 8
-    n_asked = asked.count()
+    (n_data, longest), (n_asked, longest_asked) = (df.agg(F.count("*"), F.max(F.length("v"))).first() for df in (data, asked))
+    width = max(longest or 0, longest_asked or 0) // 8
+    pivots = pivots or min(PIVOTS, max(64, math.isqrt(n_data) // 4))
     if not n_asked or not width:
         return spark.createDataFrame([], result)
 
@@ -124,19 +135,17 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, sca
             floor = np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)
             floor = np.where(held.sum() > k, floor, -np.inf)
             row, col = np.nonzero(high >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), pa.array(cells[col])], ["block", "cell"])
+            names, which = np.unique(np.array(batch.column(2).to_pylist(), object), return_inverse=True)
+            pairs = np.unique(which[row] * len(cells) + col)
+            yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(cells)], pa.string()), pa.array(cells[pairs % len(cells)])], ["block", "cell"])
 
+    n_slices = share({c: n for c, (n, _) in summary.items()}, piece)
     wanted = grouped.mapInArrow(needed, "block string, cell long").distinct()
-    slices = placed.withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), share({c: n for c, (n, _) in summary.items()}, piece)))
-    wanted_cells: dict[int, list[str]] = {}
-    for r in wanted.collect():  # at most pivots x blocks names
-        wanted_cells.setdefault(r["cell"], []).append(r["block"])
-    if not wanted_cells:
-        return spark.createDataFrame([], result)
-    blocks = F.element_at(F.create_map(*[x for c, b in wanted_cells.items() for x in (F.lit(int(c)), F.array(*map(F.lit, sorted(b))))]), F.col("cell"))
-    sent = slices.select("vec_id", "v", F.concat_ws("-", "cell", "slice").alias("part"), F.explode(blocks).alias("block"))
-    parts = slices.select("cell", F.concat_ws("-", "cell", "slice").alias("part")).distinct().select("part", F.explode(blocks).alias("block"))
-    asks = grouped.join(F.broadcast(parts), "block").select("vec_id", "v", "part", "block")
+    needs = work.write(wanted.select("block", "cell", F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice")), "needs")
+    part = F.concat_ws("-", "cell", "slice").alias("part")
+    few = checked_broadcast(needs, NEEDS)
+    sent = placed.withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), n_slices)).join(few, ["cell", "slice"]).select("vec_id", "v", part, "block")
+    asks = grouped.join(few, "block").select("vec_id", "v", part, "block")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, x_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
@@ -162,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, sca
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
         return pa.table({"query_id": join(out[0]), "vec_id": join(out[1]), "score": join(out[2])})
 
-    n = partitions(spark, placed.count(), 16 * piece)
+    n = partitions(spark, n_data, 16 * piece)
     found = asks.repartition(n, "block", "part").groupBy("block", "part").cogroup(sent.repartition(n, "block", "part").groupBy("block", "part")).applyInArrow(solve, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

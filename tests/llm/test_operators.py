@@ -251,7 +251,7 @@ def test_line_dedup_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = [list(map(float, rng.normal(0, 0.2, 8).round(2))) for _ in range(500)]
     v[7], v[8], v[9], v[200] = None, [1.0, None] + [0.0] * 6, [float("nan")] * 8, v[100]
@@ -260,10 +260,22 @@ def test_top_k(spark):
     x = {i: np.floor(1024 * np.array(e)).astype(int) for i, e in enumerate(v) if i not in (7, 8, 9)}
     want = {(q, k, i, s) for q in x if q % 100 == 0 for k, (s, i) in enumerate(sorted(((-int(x[q] @ e), i) for i, e in x.items() if i != q))[:10], 1) for s in [-s]}
     assert {tuple(r) for r in voronoi_topk.top_k(df, pivots=12, block=2, piece=64).collect()} == want
+    assert {tuple(r) for r in voronoi_topk.top_k(df).collect()} == want
+    monkeypatch.setattr(voronoi_topk, "NEEDS", 0)  # beyond the broadcast
+    assert {tuple(r) for r in voronoi_topk.top_k(df, pivots=12, block=2, piece=64).collect()} == want
     assert voronoi_topk.top_k(df.limit(0)).count() == 0
     assert voronoi_topk.top_k(df.where("vec_id in (100, 3)")).count() == 1
 
 
+def test_integers_of_sliced_arrays():
+    v = [[0.5, -0.001], None, [], [1.0, None], [float("inf")], [2.0**53], [-(2.0**53)], [3.0, 0.1, 1.0]]
+    whole = pa.array([[9.0]] + v + [[7.0]], pa.list_(pa.float64())).slice(1, len(v))
+    values, edges, valid = voronoi_topk.integers(whole, 1024.0)
+    assert valid.tolist() == [True, False, True, False, False, False, True, True]
+    got = {i: values[edges[i] : edges[i + 1]].tolist() for i in np.flatnonzero(valid)}
+    assert got == {0: [512, -2], 2: [], 6: [-(2**63)], 7: [3072, 102, 1024]}
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
