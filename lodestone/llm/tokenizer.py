@@ -63,9 +63,12 @@ def _borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes columns of text. It keeps the ids of up to ``keep`` pieces of at most ``longest`` bytes."""
+    """Encodes columns of text. It keeps the ids of up to ``keep`` pieces of at most ``longest`` bytes.
 
-    def __init__(self, path: str, keep: int = 150_000, longest: int = 64):
+    Known pieces are two arrays, their hashes in order and their places, so a million of them take some 30 MB.
+    """
+
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +81,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[int, int] = {}
+        self._hashes, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._start, self._size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self._pool, self._used, self._count = np.zeros(1 << 14, self.dtype), 0, 0
 
@@ -91,7 +94,20 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _add(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each piece; -1 where it isn't known."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self._hashes):
+            at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
+            known = self._hashes[at] == hashes
+            out[known] = self._places[at[known]]
+        return out
+
+    def _learn(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        at = np.searchsorted(self._hashes, hashes)
+        self._hashes, self._places = np.insert(self._hashes, at, hashes), np.insert(self._places, at, places)
+
+    def _add(self, pieces: list[bytes]) -> None:
         found = self._raw(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))
@@ -102,7 +118,6 @@ class Encoder:
         self._start[self._count : self._count + len(sizes)] = self._used + np.cumsum(sizes) - sizes
         self._size[self._count : self._count + len(sizes)] = sizes
         self._pool[self._used : self._used + len(ids)] = ids
-        self._index.update(zip(hashes, range(self._count, self._count + len(sizes)), strict=True))
         self._count += len(sizes)
         self._used += len(ids)
 
@@ -110,23 +125,22 @@ class Encoder:
         starts = _borders(data, offsets)
         ends = np.append(starts[1:], len(data))
         unique, where, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if self._count + len(keys) > self._keep:
+        if len(self._hashes) + len(unique) > self._keep:
             self._forget()
-        place = list(map(self._index.get, keys))
-        if None in place:
-            new = [i for i, k in enumerate(place) if k is None]
-            raw = data.tobytes()
-            self._add([keys[i] for i in new], [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            place = list(map(self._index.get, keys))
-        piece = np.array(place, np.int64)[inverse]
+        place = self._find(unique)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw, first, last = data.tobytes(), starts[where[new]], ends[where[new]]
+            place[new] = self._count + np.arange(len(new))
+            self._add([raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            short = new[last - first <= self._longest]
+            self._learn(unique[short], place[short])
+        piece = place[inverse]
         sizes = self._size[piece].astype(np.int64)
         stop = np.cumsum(sizes)
         ids = self._pool[np.repeat(self._start[piece] - (stop - sizes), sizes) + np.arange(stop[-1])]
         bounds = np.append(stop - sizes, stop[-1])[np.searchsorted(starts, offsets)]
-        for i in np.flatnonzero((ends - starts)[where] > self._longest).tolist():
-            del self._index[keys[i]]
-        if self._used > 8 * self._keep:  # ids of long pieces that are no longer known
+        if self._used > 8 * self._keep or self._count > 2 * self._keep:  # ids of long pieces, which aren't known later
             self._forget()
         return ids, bounds
 
