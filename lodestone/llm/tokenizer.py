@@ -65,10 +65,11 @@ def _borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes columns of text. It keeps the ids of up to ``keep`` pieces of at most ``longest`` bytes.
 
-    Known pieces are two arrays, their hashes in order and their places, so a million of them take some 30 MB.
+    Known pieces are two arrays, their hashes in order and their places; a piece's ids end where the next one's begin. So
+    250,000 of them take some 6 MB.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 250_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._hashes, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self._start, self._size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self._start = np.zeros(1 << 12, np.int32)  # of as many pieces as count, and the end of the last
         self._pool, self._used, self._count = np.zeros(1 << 14, self.dtype), 0, 0
 
     def _raw(self, pieces: list[bytes]) -> list[list[int]]:
@@ -111,12 +112,11 @@ class Encoder:
         found = self._raw(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))
-        for name, need in (("_start", self._count + len(sizes)), ("_size", self._count + len(sizes)), ("_pool", self._used + len(ids))):
+        for name, need in (("_start", self._count + len(sizes) + 1), ("_pool", self._used + len(ids))):
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(len(old), need - len(old)), old.dtype)]))
-        self._start[self._count : self._count + len(sizes)] = self._used + np.cumsum(sizes) - sizes
-        self._size[self._count : self._count + len(sizes)] = sizes
+                setattr(self, name, np.concatenate([old, np.zeros(max(len(old) // 2, need - len(old)), old.dtype)]))
+        self._start[self._count + 1 : self._count + len(sizes) + 1] = self._used + np.cumsum(sizes)
         self._pool[self._used : self._used + len(ids)] = ids
         self._count += len(sizes)
         self._used += len(ids)
@@ -136,9 +136,10 @@ class Encoder:
             short = new[last - first <= self._longest]
             self._learn(unique[short], place[short])
         piece = place[inverse]
-        sizes = self._size[piece].astype(np.int64)
+        begin = self._start[piece].astype(np.int64)
+        sizes = self._start[piece + 1] - begin
         stop = np.cumsum(sizes)
-        ids = self._pool[np.repeat(self._start[piece] - (stop - sizes), sizes) + np.arange(stop[-1])]
+        ids = self._pool[np.repeat(begin - (stop - sizes), sizes) + np.arange(stop[-1])]
         bounds = np.append(stop - sizes, stop[-1])[np.searchsorted(starts, offsets)]
         if self._used > 8 * self._keep or self._count > 2 * self._keep:  # ids of long pieces, which aren't known later
             self._forget()
