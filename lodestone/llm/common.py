@@ -25,6 +25,10 @@ BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Rows of a few longs in a file of a written table whose size is known.
+FILE_ROWS = 100_000
+
+
 class Workspace:
     """Tables written to a folder that driver and executors share.
 
@@ -41,7 +45,13 @@ class Workspace:
         self.root = f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """``most``: no more rows than these, each of a few longs; the table then has no more files than they need.
+
+        On a local file system without Hadoop's native library each file starts two processes (chmod) on an executor.
+        """
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FILE_ROWS)))
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -18,11 +18,12 @@ def components(edges: DataFrame, work: Workspace, name: str, start: DataFrame |
     ``start`` may hold labels (v, label) of a graph whose edges are among these, to go on from.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-    both = work.write(both, f"{name}-edges")
+    most = 2 * edges.count()  # of directed edges and of vertices
+    both = work.write(both, f"{name}-edges", most)
     first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")).select(F.col("a").alias("v"), "low")
     if start is not None:
         first = first.join(start, "v", "left").select("v", F.least("low", F.coalesce("label", "low")).alias("low"))
-    labels = work.write(first.select("v", F.col("low").alias("label")), f"{name}-0")
+    labels = work.write(first.select("v", F.col("low").alias("label")), f"{name}-0", most)
     k = 0
     while True:
         around = both.join(labels, both["b"] == labels["v"]).groupBy(both["a"].alias("v")).agg(F.min("label").alias("near"))
@@ -32,7 +33,7 @@ def components(edges: DataFrame, work: Workspace, name: str, start: DataFrame |
         heard = step.select(told.alias("x")).groupBy("x.key").agg(F.min("x.far").alias("far"))
         new = step.join(heard, step["label"] == heard["key"], "left").select("v", F.least("next", F.coalesce("far", "next")).alias("new"), "label")
         k += 1
-        written = work.write(new.select("v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), f"{name}-{k}")
+        written = work.write(new.select("v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), f"{name}-{k}", most)
         moved = not written.where("moved").isEmpty()
         work.drop(f"{name}-{k - 1}")
         labels = written.select("v", "label")

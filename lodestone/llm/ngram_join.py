@@ -306,7 +306,7 @@ class _Join:
         self.levels = spark.sparkContext.broadcast(shingle_levels(docs, work, size))
         self.sets = work.write(prefix_table(docs, self.levels, size, percent), "sets")
         classes = self.sets.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
-        self.classes = work.write(classes, "classes")
+        self.classes = work.write(classes, "classes", self.sets.count())
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b): class representatives of the pairs of (sig_a, n_a, sig_b, n_b) that are similar."""
@@ -354,7 +354,8 @@ class _Join:
         parts = max(32, partitions(self.spark, postings // 8, 1_000_000))
         dealt = _packed(self.sets, self.levels, parts, self.split).repartitionById(parts, "part")
         raw = work.write(dealt.mapInArrow(lean(_first_pairs(percent, parts)), "token long, sig_a long, n_a long, sig_b long, n_b long"), "lists")
-        first = work.write(raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct(), "first-pairs")
+        most = raw.count()
+        first = work.write(raw.where(F.col("token").isNull()).select("sig_a", "n_a", "sig_b", "n_b").distinct(), "first-pairs", most)
         links = self.verify(first, "first")
         labels = components(links, work, "first-components")
         lists = raw.where(F.col("token").isNotNull()).select("token", F.col("sig_a").alias("sig"), F.col("n_a").alias("n"), F.col("n_b").alias("place")).join(self.classes, ["sig", "n"])
@@ -362,7 +363,7 @@ class _Join:
         for draws in (*DRAWS, 0):
             name = f"drawn-{draws}" if draws else "rest"
             known = lists.join(labels, F.col("doc_id") == F.col("v"), "left").select("token", "sig", "n", "place", F.coalesce("label", "doc_id").alias("part"))
-            known = work.write(known, f"{name}-lists")
+            known = work.write(known, f"{name}-lists", most)
             lead = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(100 * draws + i)).alias("draw"), "sig", "n", "place", "part")) for i in range(max(draws, 1))]
             open_lists = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.array(*lead).alias("leads")).where(F.col("low") != F.col("high")).select("token", "leads")
             left = known.join(open_lists, "token")
@@ -374,7 +375,7 @@ class _Join:
                 one = left.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("part").alias("part_a"))
                 two = left.select("token", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("part_b"))
                 pairs = one.join(two, "token").where((F.col("part_a") < F.col("part_b")) & fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))).select("sig_a", "n_a", "sig_b", "n_b")
-            pairs = work.write(pairs.distinct(), f"{name}-pairs")
+            pairs = work.write(pairs.distinct(), f"{name}-pairs", draws * most if draws else None)
             work.drop(f"{name}-lists")
             if not pairs.isEmpty():  # leaders that fit nobody leave the other pairs of their lists to the rest
                 links = links.unionByName(self.verify(pairs, name))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, lang_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_counts, tokenizer, voronoi_topk
+from lodestone.llm import chat_format, common, decontamination, lang_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_counts, tokenizer, voronoi_topk
 from lodestone.llm.common import Workspace
 
 DOCS = "doc_id long, text string, score double, x string"
@@ -431,6 +431,37 @@ def test_lists_dealt_out_in_parts(spark):
     assert rows == plain_components(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("rows", [100_000, 20])
+def test_narrow_tables_have_no_more_files_than_rows_warrant(spark, monkeypatch, rows):
+    """With 16 partitions that Spark doesn't merge; what small tables hold fits one file."""
+    rng = np.random.default_rng(19)
+    words = [f"v{i}" for i in range(80)]
+    base = [list(rng.choice(words, 40)) for _ in range(5)]
+    texts = [" ".join([*b[:k], f"x{k}", *b[k + 1 :]]) for b in base for k in range(0, 40, 4)]
+    monkeypatch.setattr(common, "FILE_ROWS", rows, raising=False)
+    files, write = {}, Workspace.write
+    narrow = re.compile(r"classes|first-pairs|drawn-\d+-(lists|pairs)|.*-components-\w+")
+
+    def seen(work, df, name, *more):
+        out = write(work, df, name, *more)
+        if narrow.fullmatch(name):
+            files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Workspace, "write", seen)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("16", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == plain_components(dict(enumerate(texts)))
+    assert {"classes", "first-pairs", "drawn-3-lists", "first-components-edges", "first-components-0"} <= set(files)
+    assert set(files.values()) == {1} if rows == 100_000 else max(files.values()) > 1
+
+
 def test_parity_bitmaps_bound_what_is_shared():
     rng = np.random.default_rng(17)
     for n, m, both in ((1, 1, 1), (5, 900, 4), (300, 400, 250), (3000, 3000, 1500), (64, 64, 0)):
