@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, lean, utf8
+from lodestone.llm.common import chunks, lean, relieve, utf8
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4, 5)
@@ -206,7 +206,10 @@ def _slices(batches, rows: int = 1000):
 def learn(docs: DataFrame) -> Model | None:
     """A model from the documents' own labels, of rows that aren't held out; None without any."""
     texts, languages = sample(_view(docs))
-    return train(texts, languages) if texts else None
+    model = train(texts, languages) if texts else None
+    del texts, languages
+    relieve(docs.sparkSession)
+    return model
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
