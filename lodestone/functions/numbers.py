@@ -15,7 +15,7 @@ FACTORS = {"thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "la
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once a row, however often it is named."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -36,9 +36,9 @@ def parse_number(cell: Column) -> Column:
 
     def read(bare: Column) -> Column:
         inner = F.btrim(F.regexp_replace(F.btrim(F.substring(bare, F.lit(2), F.length(bare) - 2)), money, "$1"))
-        return F.when(bare.isin(*BLANKS), F.lit(None).cast("double")).when(bare.startswith("(") & bare.endswith(")"), -_let(inner, plain)).otherwise(plain(bare))
+        return F.when(bare.isin(*BLANKS), F.lit(None).cast("double")).when(bare.startswith("(") & bare.endswith(")"), -let(inner, plain)).otherwise(plain(bare))
 
-    return _let(F.btrim(F.regexp_replace(F.lower(F.btrim(cell)), money, "$1")), read)
+    return let(F.btrim(F.regexp_replace(F.lower(F.btrim(cell)), money, "$1")), read)
 
 
 def indian_grouping(amount: Column) -> Column:

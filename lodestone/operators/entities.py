@@ -38,6 +38,12 @@ def entity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("norm", F.regexp_replace(F.lower("value"), r"[\s,]+", ""))
 
 
+def cut(text: Column, pattern: str) -> Column:
+    """The text between the matches of a pattern, as by ``split``, which compiles its pattern anew for each row."""
+    mark = "\0"
+    return F.when(text.contains(mark), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, mark), mark, -1))
+
+
 def sentences(text: Column) -> Column:
     """Sentences: cut at line feeds and after full stops, exclamation and question marks, not after abbreviations or single letters."""
     return F.split(text, rf"(?<![.!?])(?<!(?<![A-Za-z])(?<![A-Za-z]\.)(?i:{ABBREVIATIONS}|[a-z]))[.!?]+[\s\u00a0]+|\n+")

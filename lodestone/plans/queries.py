@@ -386,7 +386,7 @@ SELECT o_orderkey, 'The order goes to priority ' || o_orderpriority || '. [1]' A
 """)
 def citation_attach(spark, d):
     answer = F.concat(F.lit("The order goes to priority "), F.col("o_orderpriority"), F.lit(". Never pay USD 987654321 again for anything."))
-    rows = table(spark, d, "orders").select("o_orderkey", A.attach_citations(answer, F.array(F.concat(F.lit("Order of priority "), F.col("o_orderpriority"), F.lit(" goes out")), F.lit("something else"))).alias("a"))
+    rows = table(spark, d, "orders", spread=True).select("o_orderkey", A.attach_citations(answer, F.array(F.concat(F.lit("Order of priority "), F.col("o_orderpriority"), F.lit(" goes out")), F.lit("something else"))).alias("a"))
     return rows.select("o_orderkey", F.col("a.text").alias("text"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators.answers import attach_citations, check_citations, expand_ranges, primary, routes
+from lodestone.operators.entities import PATTERNS, cut
 
 
 def test_routes(spark):
@@ -27,3 +28,19 @@ def test_attach_citations(spark):
     assert out[0]["text"] == "The pump needs forty newton metres torque. [1] INV-12 asks for INR 5,000. [3] Thanks. Known [2]."
     assert out[0]["dropped"] == ["INV-99 asks for USD 7."]
     assert out[1]["text"] == "Any text." and out[2]["text"] == "" and out[2]["dropped"] == []
+
+
+def test_attach_citations_reads_each_text_once(spark):
+    rows = spark.createDataFrame([("It costs INR 5.", ["INR 5"])], "a string, s array<string>").select(attach_citations(F.col("a"), F.col("s")).alias("c"))
+    for used in (rows, rows.select("c.text"), rows.select("c.dropped")):
+        plan = used._jdf.queryExecution().optimizedPlan().expressions().toString()
+        assert plan.count(PATTERNS["email"]) == 1
+        assert plan.count(r"[\p{L}\p{N}_]+") == 2  # of a source, and of a sentence
+
+
+def test_cut_is_split(spark):
+    texts = ["a. b", "", None, ". a.  b! ", "a\0. b. c", "a.\n\nb?\0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"(?<=[.!?])\s+", r"[.!?]\s+|\n+"):
+        got = [tuple(r) for r in df.select(cut(F.col("t"), pattern), F.split("t", pattern, -1)).collect()]
+        assert all(a == b for a, b in got) and got[0][0] and got[2] == (None, None)
