@@ -46,7 +46,8 @@ def cut(text: Column, pattern: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at line feeds and after full stops, exclamation and question marks, not after abbreviations or single letters."""
-    return F.split(text, rf"(?<![.!?])(?<!(?<![A-Za-z])(?<![A-Za-z]\.)(?i:{ABBREVIATIONS}|[a-z]))[.!?]+[\s\u00a0]+|\n+")
+    # the mark is looked for first: what stands before it takes long to tell
+    return cut(text, rf"(?=[.!?])(?<![.!?])(?<!(?<![A-Za-z])(?<![A-Za-z]\.)(?i:{ABBREVIATIONS}|[a-z]))[.!?]+[\s\u00a0]+|\n+")
 
 
 def relations(docs: DataFrame, id_col: str, subject: str, links: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -56,12 +57,11 @@ def relations(docs: DataFrame, id_col: str, subject: str, links: dict[str, str],
     pairs of the first POOL entities of a sentence have ``co_occurs_with``, the smaller (kind, norm) first, but for
     amounts and dates among themselves.
     """
-    said = docs.select(id_col, F.explode(sentences(F.col(text_col))).alias("s")).withColumn("e", entities(F.col("s"))).where(F.size("e") > 1)
     norm = lambda v: F.regexp_replace(F.lower(v), r"[\s,]+", "")
-    placed = F.array_sort(F.transform("e", lambda x: F.struct(F.position(x["value"], F.col("s")).alias("at"), x["kind"].alias("kind"), norm(x["value"]).alias("norm"))))
-    # by their first place, each (kind, norm) once; the generators keep the optimizer from working an array out for each use
-    once = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, 1, i), lambda y: (y["kind"] == x["kind"]) & (y["norm"] == x["norm"])))
-    said = said.select(id_col, F.explode(F.array(placed)).alias("e")).select(id_col, F.explode(F.array(once(F.col("e")))).alias("e"))
+    placed = F.sort_array(F.transform(entities(F.col("s")), lambda x: F.struct(F.position(x["value"], F.col("s")).alias("at"), x["kind"].alias("kind"), norm(x["value"]).alias("norm"))))
+    # by their first place, each (kind, norm) once; the generator keeps the optimizer from working the array out for each use
+    once = F.array_distinct(F.transform(placed, lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"))))
+    said = docs.select(id_col, F.explode(sentences(F.col(text_col))).alias("s")).select(id_col, F.explode(F.array(once)).alias("e")).where(F.size("e") > 1)
     a, b = F.col("a"), F.col("b")
     pairs = said.select(id_col, F.col("e"), F.posexplode("e").alias("i", "a")).select(id_col, "i", "a", F.posexplode("e").alias("j", "b")).where("i != j")
     names = F.create_map(*[F.lit(x) for kv in links.items() for x in kv])

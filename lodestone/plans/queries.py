@@ -336,7 +336,7 @@ def entities_rules(spark, d):
 @query("SELECT 'inv-' || o_orderkey AS src, 'dated' AS rel, lower(strftime(o_orderdate, '%-d%B%Y')) AS dst, o_orderkey AS place FROM orders UNION ALL SELECT 'inv-' || o_orderkey, 'has_amount', 'inr' || floor(o_totalprice)::BIGINT, o_orderkey FROM orders")
 def relations(spark, d):
     text = F.concat(F.lit("Invoice INV-"), "o_orderkey", F.lit(" dated "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" for INR "), F.floor("o_totalprice"))
-    return E.relations(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "code", {"date": "dated", "money": "has_amount"})
+    return E.relations(table(spark, d, "orders", spread=True).select("o_orderkey", text.alias("text")), "o_orderkey", "code", {"date": "dated", "money": "has_amount"})
 
 
 @query("SELECT o_orderkey, 'Order status' AS label, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'Priority', o_orderpriority FROM orders")

@@ -160,6 +160,19 @@ def test_relations_of_several_subjects(spark):
     assert {tuple(r) for r in rows} == first | second and len(rows) == len(first | second)
 
 
+def test_relations_look_for_entities_once(spark):
+    rows = E.relations(spark.createDataFrame([(1, "INV-12 of 2026-05-01")], "doc_id long, text string"), "doc_id", "code", {"date": "dated"})
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(E.PATTERNS["email"]) == 1
+    assert [tuple(r) for r in rows.collect()] == [("inv-12", "dated", "2026-05-01", 1)]
+
+
+def test_sentences(spark):
+    texts = ["Mr. A. B. Roy paid Rs. 5. Then? No!! e.g. this.\n\nInv. 7.\u00a0So\0. it is", "", ". ! a", "J.R. no. x.  Etc. Done...  ok", None, "x" * 50 + ".\n\n.\n"]
+    rule = rf"(?<![.!?])(?<!(?<![A-Za-z])(?<![A-Za-z]\.)(?i:{E.ABBREVIATIONS}|[a-z]))[.!?]+[\s\u00a0]+|\n+"
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(E.sentences(F.col("t")), F.split("t", rule, -1)).collect()]
+    assert all(a == b for a, b in got) and len(got[0][0]) > 3 and got[4] == (None, None)
+
+
 def test_stream_registration(spark, tmp_path):
     from lodestone.streaming.events import register as run
     from lodestone.streaming.events import stream
